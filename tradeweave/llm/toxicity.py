@@ -15,9 +15,10 @@ SIZES = (4, 5, 6)  # n-gram lengths in bytes
 BITS = 20  # hashed features: 2 ** BITS
 #: Labelled rows that the classifier learns from, at most of each label.
 SAMPLE = 6000
-FEATURES = 20_000  # n-grams kept: those whose ratio is least likely by chance
+FEATURES = 5000  # n-grams kept, at most: those whose ratio is least likely by chance
+STRENGTH = 3.5  # standard errors that the ratio of a kept n-gram is from 0, at least
 SHRINK = 1.0
-STEPS = 400
+STEPS, PENALTY = 400, 2e-3
 
 
 def grams(text: bytes) -> list[np.ndarray]:
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     chosen = [sampled(known.where(F.col("y") == v).select("doc_id", "y"), "doc_id", SAMPLE, label) for v in (0, 1)]
     train = stored(known.join(chosen[0].unionByName(chosen[1]).distinct(), ["doc_id", "y"], "left_semi"))
     n, size = _counts(train)
-    if not size.all():
+    if not size.all():  # one label alone, or none
         w = np.zeros(1 << BITS)
         return Model(w, float(np.log(1e-6)) if not size[1] else float(np.log(1e6)))
     p, q = n[1] + SHRINK, n[0] + SHRINK
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     strength = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
     strength[n.sum(0) < 3] = 0
     top = np.argsort(-strength, kind="stable")[:FEATURES]
-    top = np.sort(top[strength[top] > 0])
+    top = np.sort(top[strength[top] > STRENGTH])
     kept = np.zeros(1 << BITS, bool)
     kept[top] = True
     number = np.cumsum(kept) - 1
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     target = np.array([r["y"] for r in rows], np.float64)
     cols = [np.frombuffer(r["x"], kind) for r in rows]
     row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols).astype(np.int64)
+    col = np.concatenate([*cols, np.zeros(0, kind)]).astype(np.int64)
     r = ratio[top]
     v, bias = np.zeros(len(top)), float(np.log(size[1] / size[0]))
     velocity, vb = np.zeros_like(v), 0.0
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     for _ in range(STEPS):  # accelerated gradient steps with a light penalty
         look, lb = v + 0.9 * velocity, bias + 0.9 * vb
         g = target - sigmoid(np.bincount(row, (r * look)[col], len(cols)) + lb)
-        velocity = 0.9 * velocity + scale * (r * np.bincount(col, g[row], len(top)) / len(cols) ** 0.5 - 1e-3 * look)
+        velocity = 0.9 * velocity + scale * (r * np.bincount(col, g[row], len(top)) / len(cols) ** 0.5 - PENALTY * look)
         vb = 0.9 * vb + 0.5 * g.mean()
         v, bias = v + velocity, bias + vb
     weights = np.zeros(1 << BITS)
