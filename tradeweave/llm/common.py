@@ -99,6 +99,21 @@ def sampled(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
     return df.orderBy(order, F.col(key)).limit(rows)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, text, y of at most ``rows`` labelled documents of each label, 0 and 1.
+
+    Ids are chosen before texts are read: only the chosen ids, 2 * rows at most,
+    are broadcast to the documents, whose texts aren't shuffled.
+    """
+    y = F.col(label).cast("int")
+    known = labels.where(y.isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(y).alias("y"))
+    known = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id"))
+    chosen = [sampled(known.where(F.col("y") == v), "doc_id", rows, label) for v in (0, 1)]
+    chosen = stored(chosen[0].unionByName(chosen[1]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 

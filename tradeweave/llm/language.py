@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, map_batches, read, small_batches, split_of
+from .common import binaries, map_batches, read, small_batches, split_of, stored
 
 #: Labelled rows that the network learns from: about this many of each language.
 SAMPLE = 500
@@ -159,7 +159,9 @@ def fit(docs: DataFrame, lang: str = "lang") -> Model:
     known = docs.where(F.col(lang).isNotNull() & (F.length(F.trim("text")) > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    chosen = known.join(counts, "lang").where(draw * F.col("n") < SAMPLE)
+    ids = stored(known.select("doc_id", "lang").join(counts, "lang").where(draw * F.col("n") < SAMPLE).select("doc_id").distinct())
+    # about SAMPLE ids of each language: broadcast where that is few, so that texts aren't shuffled
+    chosen = known.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "doc_id", "left_semi")
     spaced = F.expr(
         f"transform(sequence(0, {WINDOWS - 1}), i -> substring(text, cast(floor(i * greatest(0, length(text) - {WINDOW}) / {WINDOWS}) + 1 as int), {WINDOW}))"
     )

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, fit_logistic, map_batches, read, sampled, sigmoid, small_batches, split_of, stored
+from .common import binaries, fit_logistic, labelled_sample, map_batches, read, sigmoid, small_batches, split_of
 
 #: Labelled rows that dictionaries are built from, and that scores are calibrated on; at most, of each label.
 SAMPLE = 1500
@@ -65,11 +65,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     logistic regression. Labels other than 0 and 1 are left out. Without rows of
     both labels, all scores are that of the label there is; without any, 0.5.
     """
-    y = F.col(label).cast("int")
-    labels = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(y).alias("y"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(labels, "doc_id")
-    chosen = [sampled(known.where(F.col("y") == v).select("doc_id", "y"), "doc_id", 2 * SAMPLE, label) for v in (0, 1)]
-    train = stored(known.join(chosen[0].unionByName(chosen[1]).distinct(), ["doc_id", "y"], "left_semi").where("length(text) > 0"))
+    train = labelled_sample(docs, labels, label, 2 * SAMPLE).where("length(text) > 0")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
     built: list[list[bytes]] = [[], []]
     spaced = F.expr(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, map_batches, read, sampled, sigmoid, small_batches, split_of, stored
+from .common import binaries, labelled_sample, map_batches, read, sigmoid, small_batches, split_of
 
 SIZES = (4, 5, 6)  # n-gram lengths in bytes
 BITS = 20  # hashed features: 2 ** BITS
@@ -89,11 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     features, and a linear classifier with a logistic loss is fitted to them.
     Without rows of both labels all scores are the share of label 1, or 0.
     """
-    y = F.col(label).cast("int")
-    labels = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(y).alias("y"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(labels, "doc_id")
-    chosen = [sampled(known.where(F.col("y") == v).select("doc_id", "y"), "doc_id", SAMPLE, label) for v in (0, 1)]
-    train = stored(known.join(chosen[0].unionByName(chosen[1]).distinct(), ["doc_id", "y"], "left_semi"))
+    train = labelled_sample(docs, labels, label, SAMPLE)
     n, size = _counts(train)
     if not size.all():  # one label alone, or none
         w = np.zeros(1 << BITS)
