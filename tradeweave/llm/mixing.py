@@ -70,7 +70,8 @@ def mixed(docs: DataFrame, rate: float = RATE, temper: float = TEMPER, rounds: i
     d = described(docs)
     keys = [f"_{c}" for c in DIMENSIONS]
     cells = raked(stored(d.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"))), rate, temper, rounds).select(*keys, "p")
-    out = d.join(cells, keys, "left").withColumn("selected", draw(F.col("doc_id")) < F.col("p"))
+    out = d.join(cells, keys, "left").withColumn("p", F.when(F.col("n_tokens") > 0, F.col("p")).otherwise(0.0))
+    out = out.withColumn("selected", draw(F.col("doc_id")) < F.col("p"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", F.col("_topic").alias("topic_key"), "p", "selected")
 
 
@@ -104,6 +105,6 @@ def oracle_sql() -> str:
         last = f"k{r}"
     cte.append(f"p AS (SELECT _source, _lang, _topic, CASE WHEN tokens > 0 THEN least(1.0, {RATE} * w / tokens) ELSE 0 END AS p FROM {last})")
     return "WITH " + ",\n".join(cte) + """
-SELECT doc_id, source, lang, _topic AS topic_key, n_tokens, round(p, 6) AS p,
-  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < p AS selected
+SELECT doc_id, source, lang, _topic AS topic_key, n_tokens, CASE WHEN n_tokens > 0 THEN round(p, 6) ELSE 0 END AS p,
+  n_tokens > 0 AND CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < p AS selected
 FROM e JOIN p USING (_source, _lang, _topic)"""
