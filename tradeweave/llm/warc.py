@@ -87,10 +87,9 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, path: str, files: int) -> None:
-    """Writes the records of pages as gzip archives."""
-    out = records(pages).repartition(files)
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+def write(pages: DataFrame, path: str, rows: int) -> None:
+    """Writes the records of pages as gzip archives of at most so many rows."""
+    records(pages).write.option("maxRecordsPerFile", rows).option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -165,8 +164,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     columns of pages are ignored.
     """
     spark, path = pages.sparkSession, shared_dir(pages.sparkSession)
-    size = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-    write(deduplicated(pages, min_bytes), path, int(size // FILE_BYTES) + 1)
+    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 1.0
+    write(deduplicated(pages, min_bytes), path, max(1, int(FILE_BYTES / max(mean, 1.0))))
     return resolved(read_archives(spark, path))
 
 
