@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeweave.config import Carousel, Propagation, Settings
-from tradeweave.operators import build, propagation, rings, shell, traversal
+from tradeweave.operators import build, centrality, community, propagation, rings, shell, traversal
 from tradeweave.operators.graph import TradeGraph, create_store
+from tradeweave.plans.facade import Questions
 from tradeweave.schema import EDGES, NODES
 from tradeweave.sources import declarations
 
@@ -87,3 +88,49 @@ def test_store_and_settings(spark, tmp_path):
     assert Settings.from_dict({"temporal": {"overlap_days": 0}}).temporal.overlap_days == 0
     assert Carousel().min_value == 50_000
     assert spark.createDataFrame([], EDGES).count() == 0
+
+
+def plain(spark, pairs) -> TradeGraph:
+    nodes = spark.createDataFrame([(x,) for x in sorted({n for p in pairs for n in p[:2]})], "node_id string")
+    return TradeGraph(nodes, spark.createDataFrame([(a, b, "IMPORTS_FROM", w) for a, b, w in pairs], "src string, dst string, edge_type string, weight double"))
+
+
+def test_betweenness(spark):
+    g = plain(spark, [("a", "b", 1.0), ("b", "d", 1.0), ("a", "c", 1.0), ("c", "d", 1.0), ("d", "e", 1.0), ("a", "e", 9.0)])
+    score = lambda **k: {r["node_id"]: r["score"] for r in centrality.betweenness(g, **k).collect()}
+    # a to e is direct by hops, and through b or c and d by weight
+    assert score(normalized=False, weighted=False) == pytest.approx({"a": 0, "b": 0.5, "c": 0.5, "d": 2, "e": 0})
+    assert score() == pytest.approx({"a": 0, "b": 1 / 12, "c": 1 / 12, "d": 3 / 12, "e": 0})
+    with pytest.raises(ValueError, match="positive"):
+        centrality.betweenness(plain(spark, [("a", "b", 0.0)]))
+
+
+def test_louvain_and_leiden(spark):
+    cliques = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "xy" for i in range(5) for j in range(i)]
+    g = plain(spark, [*cliques, ("x0", "y0", 1.0)])
+    for name in ("louvain", "leiden"):
+        p = community.detect(g, name)
+        got = {r["node_id"]: r["community_id"] for r in p.collect()}
+        assert got == {f"{c}{i}": f"{c}0" for c in "xy" for i in range(5)}
+        assert community.modularity(g, p).first()[0] == pytest.approx(2 * (10 / 21 - 0.25))
+    with pytest.raises(ValueError, match="Unknown algorithm"):
+        community.detect(g, "other")
+
+
+def test_missing_traders(spark):
+    g = ring(spark)
+    got = {r["node_id"]: r for r in shell.missing_traders(g, shell.carousels(g), "2025-02-01").collect()}
+    assert set(got) == {"IMP:A", "EXP:B", "IMP:C", "EXP:A"}
+    assert (got["EXP:B"]["import_value"], got["EXP:B"]["export_value"]) == (250000, 190000)
+    assert got["IMP:C"]["indicators"] == ["minimal_external_connections"]
+    assert got["IMP:C"]["missing_trader_score"] == pytest.approx(0.15)
+
+
+def test_questions(spark):
+    q = Questions(ring(spark))
+    assert q.health() == {"status": "healthy", "nodes": 6, "edges": 7}
+    assert q.shortest_path("IMP:A", "EXP:A").first()["length"] == 3
+    assert q.propagate_risk("unknown").count() == 0
+    assert q.neighbors("IMP:D", max_depth=2).count() == 3
+    assert q.fraud_rings().first()["ring_type"] == "circular_trade"
+    assert q.communities("label_propagation", min_size=1).count() >= 1

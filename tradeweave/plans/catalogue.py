@@ -118,6 +118,7 @@ def queries() -> dict:
         "g02_path": on(lambda g: G.shortest_path(g, "IMP:1", "COMM:" + _commodity(g)).select(F.array_join("path", "|").alias("path"), F.col("length").cast("bigint").alias("length"))),
         "g03_components": on(lambda g: G.components(g)),
         "c01_pagerank_3it": on(lambda g: C.pagerank(g, max_iter=3, tol=0).select("node_id", _r("score", 9))),
+        "c02_betweenness": on(lambda g: C.betweenness(g, normalized=False, weighted=False).select("node_id", _r("score"))),
         "c03_degree": on(lambda g: C.degree(g).select("node_id", _r("score", 9))),
         "c04_in_degree": on(lambda g: C.degree(g, "in_degree").select("node_id", _r("score", 9))),
         "c05_out_degree": on(lambda g: C.degree(g, "out_degree").select("node_id", _r("score", 9))),
@@ -125,6 +126,8 @@ def queries() -> dict:
         "c08_divergence": on(lambda g: C.divergence(g).select("node_id", _r("divergence"))),
         "c09_statistics": on(lambda g: C.statistics(C.degree(g, normalized=False)).select(*[_r(c) for c in ("mean", "std", "max", "min", "median")])),
         "c10_simple": on(lambda g: g.simple_digraph().select("src", "dst", _r("weight"))),
+        "m01_louvain": lambda s, d: M.louvain(companies(s, d)),
+        "m02_leiden": lambda s, d: M.leiden(companies(s, d)),
         "m03_label_propagation_3it": on(lambda g: M.label_propagation(g, 3)),
         "m05_modularity": on(lambda g: M.modularity(g, by_country(g)).select(_r("modularity"))),
         "m06_metrics": on(lambda g: M.metrics(g, by_country(g)).select("community_id", "size", "internal_edges", "external_edges", _r("density"))),
@@ -143,6 +146,7 @@ def queries() -> dict:
         "r09_synchronized": on(lambda g: R.synchronized(g, max_cv=0.3).select("date", "declarations", "importers", _r("cv"), _r("confidence"))),
         "r10_rings": lambda s, d: R.detect(graph(s, d), max_cv=0.3).select("ring_type", "ring_key", "size", _r("confidence")),
         "k04_carousels": lambda s, d: H.carousels(companies(s, d), Carousel(max_days=10_000, vat_countries=tuple(f"NATION_{i}" for i in range(10)))).select(F.array_join("cycle", ">").alias("cycle"), "border_crossings", _r("total_value", 2), _r("confidence")),
+        "k05_missing_traders": lambda s, d: _missing(companies(s, d)).select(F.array_join("cycle", ">").alias("cycle"), "node_id", _r("missing_trader_score"), joined("indicators"), _r("import_value", 2), _r("export_value", 2)),
         "h02_volumes": on(lambda g: H.volumes(g).select("node_id", _r("volume", 2))),
         "h03_flagged": on(lambda g: H.flagged_connections(_risky(g))),
         "h04_commodities": on(lambda g: H.commodities(g)),
@@ -152,6 +156,12 @@ def queries() -> dict:
     }
 
 
+def _missing(g: TradeGraph) -> DataFrame:
+    g = TradeGraph(g.nodes.withColumn("registration_date", F.lit(None).cast("string")), g.edges)
+    cfg = Carousel(max_days=10_000, vat_countries=tuple(f"NATION_{i}" for i in range(10)))
+    return H.missing_traders(g, H.carousels(g, cfg), AS_OF, cfg)
+
+
 def _commodity(g: TradeGraph) -> str:
     """The hs code of the smallest commodity that importer 1 declares."""
     d = g.edges_where(src="IMP:1", edge_type="DECLARES").select(F.col("dst").alias("src"))

@@ -109,6 +109,7 @@ def oracles() -> dict[str, str]:
         "t08_subgraph": g("SELECT src, dst, edge_type FROM edges WHERE edge_type = 'REPRESENTED_BY'"),
         "g01_khop": g("h1 AS (SELECT DISTINCT other AS node_id FROM near WHERE node_id = 'IMP:1'), h2 AS (SELECT DISTINCT other AS node_id FROM near JOIN h1 USING (node_id) WHERE other <> 'IMP:1' AND other NOT IN (SELECT node_id FROM h1)) SELECT node_id, CAST(1 AS INTEGER) AS depth FROM h1 UNION ALL SELECT node_id, CAST(2 AS INTEGER) FROM h2"),
         "c01_pagerank_3it": g(_pagerank(3)),
+        "c02_betweenness": g("e2 AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), two AS (SELECT p.src AS s, p.dst AS v, q.dst AS t FROM e2 p JOIN e2 q ON q.src = p.dst WHERE q.dst <> p.src AND NOT EXISTS (SELECT 1 FROM e2 x WHERE x.src = p.src AND x.dst = q.dst)), n2 AS (SELECT s, t, count(*) AS k FROM two GROUP BY ALL), b AS (SELECT v, sum(1.0 / k) AS b FROM two JOIN n2 USING (s, t) GROUP BY v) SELECT node_id, round(CAST(coalesce(b, 0) AS DOUBLE), 6) AS score FROM nodes LEFT JOIN b ON v = node_id"),
         "c03_degree": g("SELECT node_id, round(d / ((SELECT count(*) FROM nodes) - 1.0), 9) AS score FROM degrees"),
         "c04_in_degree": g("SELECT node_id, round(i / ((SELECT count(*) FROM nodes) - 1.0), 9) AS score FROM degrees"),
         "c05_out_degree": g("SELECT node_id, round(o / ((SELECT count(*) FROM nodes) - 1.0), 9) AS score FROM degrees"),
