@@ -65,6 +65,7 @@ def test_ring_members_evidence_and_report(spark):
     g = ring(spark)
     m = {r["node_id"] for r in evidence.members(g).where("ring_type = 'circular_trade'").collect()}
     assert m == {"IMP:A", "EXP:B", "IMP:C", "EXP:A"}
+    assert evidence.members(g).where("ring_type = 'shared_attributes'").isEmpty()  # one shared address makes no ring
     amounts = [r["amount"] for r in evidence.evidence(g).where("ring_type = 'circular_trade'").collect()]
     assert sorted(amounts) == [180000.0, 185000.0, 190000.0, 200000.0]
     r = evidence.report(g).where("ring_type = 'circular_trade'").first()

@@ -12,7 +12,9 @@ from ..functions import normalize as N
 from ..operators import build as B
 from ..operators import centrality as C
 from ..operators import community as M
+from ..operators import evidence as V
 from ..operators import propagation as P
+from ..operators import resolution as X
 from ..operators import rings as R
 from ..operators import shell as H
 from ..operators import signals as E
@@ -145,6 +147,9 @@ def queries() -> dict:
         "r06_groups": on(lambda g: R.cluster_groups(g).select("component", "clusters", "types", "largest", _r("confidence"))),
         "r09_synchronized": on(lambda g: R.synchronized(g, max_cv=0.3).select("date", "declarations", "importers", _r("cv"), _r("confidence"))),
         "r10_rings": lambda s, d: R.detect(graph(s, d), max_cv=0.3).select("ring_type", "ring_key", "size", _r("confidence")),
+        "r07_report": on(lambda g: V.report(g, max_cv=0.3).select("ring_id", "ring_type", "ring_key", _r("confidence"), "size", _r("total_value", 2))),
+        "r08_members": on(lambda g: V.members(g, max_cv=0.3)),
+        "x01_co_occurrence": lambda s, d: X.co_occurrence(_parties(s, d)).select("src", "dst", "edge_type", "transaction_count", _r("total_value", 2), "first_seen", "last_seen"),
         "k04_carousels": lambda s, d: H.carousels(companies(s, d), Carousel(max_days=10_000, vat_countries=tuple(f"NATION_{i}" for i in range(10)))).select(F.array_join("cycle", ">").alias("cycle"), "border_crossings", _r("total_value", 2), _r("confidence")),
         "k05_missing_traders": lambda s, d: _missing(companies(s, d)).select(F.array_join("cycle", ">").alias("cycle"), "node_id", _r("missing_trader_score"), joined("indicators"), _r("import_value", 2), _r("export_value", 2)),
         "h02_volumes": on(lambda g: H.volumes(g).select("node_id", _r("volume", 2))),
@@ -156,6 +161,11 @@ def queries() -> dict:
     }
 
 
+def _parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = lambda tag, c, name: F.concat(F.lit(f"{tag}:"), c).alias(name)
+    return D.flat(spark, sf_dir).select(tagged("IMP", "imp", "imp"), tagged("EXP", "exp", "exp"), tagged("AGENT", "license_id", "agt"), "value", "date")
+
+
 def _missing(g: TradeGraph) -> DataFrame:
     g = TradeGraph(g.nodes.withColumn("registration_date", F.lit(None).cast("string")), g.edges)
     cfg = Carousel(max_days=10_000, vat_countries=tuple(f"NATION_{i}" for i in range(10)))

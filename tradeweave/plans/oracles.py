@@ -126,6 +126,7 @@ def oracles() -> dict[str, str]:
         "w05_velocity": g(f"{_SNAPS}, d AS (SELECT window_id, density, node_count - lag(node_count) OVER (ORDER BY window_id) AS dn, edge_count - lag(edge_count) OVER (ORDER BY window_id) AS de FROM snap), t AS (SELECT window_id, count(*) AS n, count(*) FILTER (WHERE k = 1) AS x FROM (SELECT window_id, node_id, count(*) AS k FROM (SELECT window_id, node_id FROM sn UNION ALL SELECT window_id + 1, node_id FROM sn) GROUP BY ALL) WHERE window_id > 0 AND window_id <= (SELECT max(window_id) FROM spans) GROUP BY window_id) SELECT round(avg(dn), 9) AS node_growth, round(avg(de), 9) AS edge_growth, round(CAST(regr_slope(density, window_id) AS DOUBLE), 9) AS density_trend, (SELECT round(avg(x / CAST(n AS DOUBLE)), 9) FROM t) AS turnover FROM d"),
         "r02_clusters": g("c AS (SELECT dst AS node_id, count(DISTINCT src) AS n FROM edges WHERE edge_type IN ('LOCATED_AT', 'CONTACTABLE_VIA', 'PAYS_THROUGH') GROUP BY dst HAVING count(DISTINCT src) >= 2) SELECT node_id AS shared_node_id, node_type AS shared_node_type, attribute AS attribute_value, n AS entity_count FROM c JOIN nodes USING (node_id)"),
         "r09_synchronized": g("d AS (SELECT date, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM nodes WHERE node_type = 'DECLARATION' GROUP BY date), i AS (SELECT n.date, count(DISTINCT src) AS i FROM nodes n JOIN edges e ON e.dst = n.node_id AND edge_type = 'DECLARES' WHERE node_type = 'DECLARATION' GROUP BY n.date) SELECT date, n AS declarations, i AS importers, round(std / mean, 6) AS cv, round(0.6 + 0.1 * least(n - 3, 4), 6) AS confidence FROM d JOIN i USING (date) WHERE n >= 3 AND i >= 3 AND std / mean < 0.3"),
+        "x01_co_occurrence": g("o AS (SELECT n_imp AS a, n_exp AS b, value, date FROM ids UNION ALL SELECT n_imp, n_agent, value, date FROM ids WHERE n_agent IS NOT NULL UNION ALL SELECT n_exp, n_agent, value, date FROM ids WHERE n_agent IS NOT NULL) SELECT least(a, b) AS src, greatest(a, b) AS dst, 'CO_OCCURS_WITH' AS edge_type, count(*) AS transaction_count, round(CAST(sum(CAST(value AS DECIMAL(28, 4))) AS DOUBLE), 2) AS total_value, min(date) AS first_seen, max(date) AS last_seen FROM o GROUP BY least(a, b), greatest(a, b)"),
         "h02_volumes": g("SELECT node_id, round(CAST(sum(CAST(total_value AS DECIMAL(28, 4))) AS DOUBLE), 2) AS volume FROM (SELECT src AS node_id, total_value FROM edges UNION ALL SELECT dst, total_value FROM edges) GROUP BY node_id"),
         "h03_flagged": g("e AS (SELECT DISTINCT src, dst FROM edges), n AS (SELECT src AS node_id, dst AS other FROM e UNION ALL SELECT dst, src FROM e) SELECT n.node_id, count(*) AS flagged_connections FROM n JOIN risk r ON r.node_id = n.other WHERE r.flagged GROUP BY n.node_id"),
         "h04_commodities": g("SELECT n_imp AS node_id, count(DISTINCT n_comm) AS commodities FROM ids GROUP BY n_imp"),
