@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import decontaminate, mixing, quality, simhash, toxicity
+from tradeweave.llm import decontaminate, jaccard, mixing, quality, toxicity
 from tradeweave.llm.common import read, stored
 
 #: Below this score a document is rejected; it leaves doubtful ones in.
@@ -30,8 +30,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id stays."""
-    kept = _keep(docs, simhash.near_duplicates(docs), "doc_id <=> component_id")
+    """Of each class of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays."""
+    kept = _keep(docs, jaccard.near_duplicates(docs), "doc_id <=> component_id")
     return kept.dropDuplicates(["doc_id"])
 
 

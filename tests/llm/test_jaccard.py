@@ -1,0 +1,66 @@
+"""The pipeline's near-duplicates against brute force over all pairs."""
+
+import random
+
+import pytest
+
+from tradeweave.llm import jaccard
+
+D = "doc_id bigint, text string"
+
+
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute(rows):
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    near = [[1 if not (a | b) else 5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]
+    while True:
+        new = [min(label[j] for j in range(len(rows)) if near[i][j]) for i in range(len(rows))]
+        if new == label:
+            return [rows[x][0] for x in label]
+        label = new
+
+
+def corpus(copies=12):
+    """Copies with random edits, so that similarities lie on both sides of 0.8; one common line; short texts."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    line = " ".join(f"common{i}" for i in range(30))
+    texts = [None, "", "  ", "one", "One", "a b c d e", "a b c d e f", "a b c d f"]
+    for base in range(12):
+        w = rng.choices(words, k=rng.choice([30, 80, 300]))
+        texts.append(" ".join(w))
+        for _ in range(copies):
+            v = list(w)
+            for _ in range(max(1, round(len(w) * rng.uniform(0.005, 0.04)))):
+                v[rng.randrange(len(v))] = rng.choice(words)
+            texts.append(" ".join(v) + (" " + line if base % 3 == 0 else ""))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("common,group", [(8, 4096), (10**6, 8)])
+def test_classes_match_brute_force(spark, monkeypatch, common, group):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rows = corpus()
+    want = brute(rows)
+    got = {r[0]: r[1] for r in jaccard.near_duplicates(spark.createDataFrame(rows, D)).collect()}
+    assert [got[i] for i, _ in rows] == want
+    assert 30 < len(set(want)) < len(rows) - 30
+
+
+def test_no_rows(spark):
+    assert jaccard.near_duplicates(spark.createDataFrame([], D)).count() == 0
+
+
+def test_pipeline_stage_keeps_dissimilar_and_drops_similar(spark):
+    import corpus_pipeline
+
+    rows = corpus(4)
+    kept = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(rows, D), "").collect()
+    assert {r["doc_id"] for r in kept} == set(brute(rows))

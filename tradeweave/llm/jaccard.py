@@ -1,0 +1,203 @@
+"""Near-duplicates by the similarity of their word shingles: every pair at the limit is found.
+
+Prefix filter: order all shingles in one way. Two sets of similarity s share one
+of the first n - ceil(s n) + 1 shingles of either. Documents that share such a
+shingle are compared exactly; no pair at the limit is ever missed.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import binaries, map_batches, small_batches, space_words, stored
+from .graph import components
+from .simhash import shingle_hashes
+
+#: Documents sampled for the order of shingles; those in COMMON of them come last. Any order is complete.
+SAMPLE, COMMON = 8192, 8
+#: Groups above this many documents are dealt out as pairs of chunks.
+GROUP = 4096
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, sig, n, bag) for every row of docs: the set's XXH64, its size and its sorted 64-bit hashes."""
+    small_batches(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> dict[str, object]:
+        bags = [np.unique(shingle_hashes(space_words(t or b""), shingle)) for t in binaries(batch, "text")]
+        raw = [b.tobytes() for b in bags]
+        sig = np.array([xxhash.xxh64_intdigest(b) for b in raw], np.uint64).view(np.int64)
+        n = np.array([len(b) for b in bags], np.int32)
+        return {"doc_id": batch.column("doc_id"), "sig": sig, "n": n, "bag": pa.array(raw, pa.binary())}
+
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    return map_batches(docs, run, "doc_id long, sig long, n int, bag binary")
+
+
+def _bags(batch: pa.RecordBatch, name: str = "bag") -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in batch.column(name).to_pylist()]
+
+
+def common_shingles(marks: DataFrame) -> np.ndarray:
+    """Sorted hashes in COMMON or more of about SAMPLE documents, chosen by hash."""
+    n = max(1, marks.count() // SAMPLE)
+    some = marks.where(F.pmod(F.xxhash64("sig"), F.lit(n)) == 0).select("sig", "bag").dropDuplicates(["sig"])
+
+    def run(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"h": np.concatenate([np.zeros(0, np.uint64), *_bags(batch)]).view(np.int64)}
+
+    often = map_batches(some.select("bag"), run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    return np.sort(np.array([r[0] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
+def prefixes(marks: DataFrame, common: np.ndarray, least: Fraction) -> DataFrame:
+    """(key, sig, n): the first shingles of each set, rare ones before common ones, then by hash."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, object]:
+        keys = []
+        for bag in _bags(batch):
+            size = len(bag) - -(-len(bag) * least.numerator // least.denominator) + 1
+            if len(common) and len(bag):
+                late = common[np.minimum(np.searchsorted(common, bag), len(common) - 1)] == bag
+                bag = np.concatenate([bag[~late], bag[late]])
+            keys.append(bag[:size])
+        times = np.array([len(k) for k in keys], np.int64)
+        return {
+            "key": np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64),
+            "sig": np.repeat(batch.column("sig").to_numpy(), times),
+            "n": np.repeat(batch.column("n").to_numpy(), times),
+        }
+
+    return map_batches(marks.select("sig", "n", "bag"), run, "key long, sig long, n int").distinct()
+
+
+def similar_pairs(pairs: DataFrame, marks: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is at least the limit, compared in full."""
+    pairs = stored(pairs.distinct())
+    used = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    bags = stored(marks.select("sig", "bag").join(used, "sig", "left_semi").dropDuplicates(["sig"]))
+    both = pairs.join(bags.toDF("a", "x"), "a").join(bags.toDF("b", "y"), "b")
+
+    def run(batch: pa.RecordBatch) -> dict[str, object]:
+        on = []
+        for x, y in zip(_bags(batch, "x"), _bags(batch, "y"), strict=True):
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            on.append(same * (least.numerator + least.denominator) >= least.numerator * (len(x) + len(y)))
+        keep = np.flatnonzero(on)
+        return {c: batch.column(c).take(pa.array(keep)) for c in ("a", "b")}
+
+    return map_batches(both, run, "a long, b long")
+
+
+def sketches(marks: DataFrame) -> DataFrame:
+    """(sig, sketch): how many hashes end in each of 64 values, at most 255.
+
+    The sum of differences of two sketches never exceeds the number of
+    shingles that only one of the sets has.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict[str, object]:
+        counts = [np.minimum(np.bincount((b & np.uint64(63)).astype(np.int64), minlength=64), 255) for b in _bags(batch)]
+        return {"sig": batch.column("sig"), "sketch": pa.array([c.astype(np.uint8).tobytes() for c in counts], pa.binary())}
+
+    return map_batches(marks.select("sig", "bag"), run, "sig long, sketch binary").dropDuplicates(["sig"])
+
+
+def open_pairs(keys: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (a, b) of one key and two classes that sizes and sketches don't rule out.
+
+    keys: key, sig, n, root, sketch. Groups above GROUP become pairs of chunks.
+    """
+    counts = stored(keys.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > GROUP))
+    keys = keys.join(counts, "key", "left")
+    chunks = F.coalesce(F.ceil(F.col("many") / (GROUP // 2)).cast("int"), F.lit(1))
+    keys = keys.withColumn("g", chunks).withColumn("c", F.pmod(F.xxhash64("sig"), F.col("g").cast("long")).cast("int"))
+    keys = keys.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    keys = keys.select("key", F.least("c", "d").alias("x"), F.greatest("c", "d").alias("y"), "sig", "n", "root", "sketch")
+    by = ["key", "x", "y"]
+    keys = keys.repartition(*by).sortWithinPartitions(*by, "root", "sig")
+    apart = least.denominator - least.numerator  # |x or y| - |x and y| <= (1 - s) / (1 + s) (|x| + |y|)
+    both = least.denominator + least.numerator
+
+    def compare(sig, n, root, sketch) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [], []
+        names, at = np.unique(root, return_inverse=True)
+        largest = np.argmax(np.bincount(at))
+        # members of the largest class don't meet each other: only the rest is gone through
+        for i in np.flatnonzero(at != largest):
+            j = np.flatnonzero((at == largest) | (at > at[i]))
+            j = j[both * np.abs(n[j] - n[i]) <= apart * (n[j] + n[i])]
+            if len(j):
+                j = j[both * np.abs(sketch[j] - sketch[i]).sum(1) <= apart * (n[j] + n[i])]
+                a.append(np.minimum(sig[j], sig[i]))
+                b.append(np.maximum(sig[j], sig[i]))
+        zero = np.zeros(0, np.int64)
+        return np.concatenate([zero, *a]), np.concatenate([zero, *b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(held: list) -> pa.RecordBatch:
+            a, b = compare(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in by], 1)
+            sig, n, root = (batch.column(c).to_numpy().astype(np.int64) for c in ("sig", "n", "root"))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, 64).astype(np.int16)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1), len(ids)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if last is not None and last != tuple(ids[lo]):
+                    yield found(held)
+                    held = []
+                held.append((sig[lo:hi], n[lo:hi], root[lo:hi], sketch[lo:hi]))
+                last = tuple(ids[lo])
+        if held:
+            yield found(held)
+
+    return keys.mapInArrow(run, "a long, b long").distinct()
+
+
+def classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, class_id) for every row of docs: the class of near-duplicates it is in.
+
+    Documents link if the Jaccard similarity of their sets of five-word shingles
+    is at least ``least``; classes are closed over links. The shingles count by
+    their 64-bit hashes. Texts of fewer words are one shingle; wordless and null
+    texts are alike. class_id has no meaning of its own.
+
+    Each document first meets the least one of every group it shares a shingle
+    with; then all pairs of a group that aren't of one class yet are compared.
+    """
+    limit = Fraction(least).limit_denominator(1000)
+    marks = stored(shingle_sets(docs, shingle))
+    keys = stored(prefixes(marks, common_shingles(marks), limit))
+    low = keys.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("low"), F.count("*").alias("many")).where("many > 1")
+    keys = stored(keys.join(low.select("key", "low"), "key"))
+    close = F.least("n", "low.n") * limit.denominator >= F.greatest("n", "low.n") * limit.numerator
+    stars = keys.where(F.col("sig") != F.col("low.sig")).where(close).select(F.col("low.sig").alias("a"), F.col("sig").alias("b"))
+    links = stored(similar_pairs(stars, marks, limit))
+    roots = stored(components(links, "a", "b"))
+    keys = keys.select("key", "sig", "n").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    keys = stored(keys.select("key", "sig", "n", F.coalesce("root", "sig").alias("root")))
+    mixed = keys.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    keys = stored(keys.join(mixed, "key", "left_semi"))
+    used = marks.join(keys.select("sig").distinct(), "sig", "left_semi")
+    rest = similar_pairs(open_pairs(keys.join(stored(sketches(used)), "sig"), limit), marks, limit)
+    roots = components(links.unionByName(rest), "a", "b").withColumnRenamed("node", "sig")
+    return marks.select("doc_id", "sig").join(roots, "sig", "left").select("doc_id", F.coalesce("root", "sig").alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row: component_id is the smallest doc_id of the row's class."""
+    found = stored(classes(docs, shingle, least))
+    low = found.groupBy("class_id").agg(F.min("doc_id").alias("component_id"))
+    return found.join(low, "class_id").select("doc_id", "component_id")
