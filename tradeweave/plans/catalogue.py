@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window
-
 from ..config import Carousel, EdgeWeights
 from ..functions import normalize as N
 from ..operators import build as B
@@ -38,16 +36,16 @@ def graph(spark: SparkSession, sf_dir: str) -> TradeGraph:
 
 
 def companies(spark: SparkSession, sf_dir: str) -> TradeGraph:
-    """A small graph with cycles: customers and suppliers of the same key are one company,
-    which trades with its three partners of the greatest value."""
+    """A graph with cycles: customers and suppliers of the same key are one company, with all its links."""
     f = D.flat(spark, sf_dir)
-    n = spark.table("supplier").agg(F.max("s_suppkey")).first()[0] or 0
-    e = f.where(F.col("imp").cast("bigint") <= n).where("imp <> exp")
+    e = f.where("imp <> exp")
     e = e.groupBy(F.col("imp").alias("src"), F.col("exp").alias("dst")).agg(F.sum(F.col("value").cast("decimal(28,4)")).cast("double").alias("total_value"), F.count("*").alias("transaction_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
-    w = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("total_value"), F.col("dst").cast("bigint")))
-    e = stored(e.withColumn("r", w).where("r <= 3").drop("r").withColumns({"edge_type": F.lit("IMPORTS_FROM"), "weight": F.lit(1.0)}))
-    c = spark.table("supplier").join(spark.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    nodes = c.select(F.col("s_suppkey").cast("string").alias("node_id"), F.lit("IMPORTER").alias("node_type"), F.col("s_name").alias("name"), F.col("n_name").alias("country"))
+    e = stored(e.withColumns({"edge_type": F.lit("IMPORTS_FROM"), "weight": F.lit(1.0)}))
+    c = spark.table("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    only = spark.table("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    c = c.unionByName(only.join(c.select("key"), "key", "left_anti"))
+    c = c.join(spark.table("nation"), F.col("nation") == F.col("n_nationkey"), "left")
+    nodes = c.select(F.col("key").cast("string").alias("node_id"), F.lit("IMPORTER").alias("node_type"), "name", F.col("n_name").alias("country"))
     nodes = nodes.withColumns({"risk_score": F.lit(0.0), "risk_level": F.lit("LOW"), "flagged": F.lit(False)})
     return TradeGraph(stored(nodes), e)
 
@@ -128,8 +126,8 @@ def queries() -> dict:
         "c08_divergence": on(lambda g: C.divergence(g).select("node_id", _r("divergence"))),
         "c09_statistics": on(lambda g: C.statistics(C.degree(g, normalized=False)).select(*[_r(c) for c in ("mean", "std", "max", "min", "median")])),
         "c10_simple": on(lambda g: g.simple_digraph().select("src", "dst", _r("weight"))),
-        "m01_louvain": lambda s, d: M.louvain(companies(s, d)),
-        "m02_leiden": lambda s, d: M.leiden(companies(s, d)),
+        "m01_louvain": on(lambda g: M.louvain(g)),
+        "m02_leiden": on(lambda g: M.leiden(g)),
         "m03_label_propagation_3it": on(lambda g: M.label_propagation(g, 3)),
         "m05_modularity": on(lambda g: M.modularity(g, by_country(g)).select(_r("modularity"))),
         "m06_metrics": on(lambda g: M.metrics(g, by_country(g)).select("community_id", "size", "internal_edges", "external_edges", _r("density"))),
