@@ -13,30 +13,49 @@ QUALITY = 0.35
 TOXIC = 0.3
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of each row, a hash of its doc_id and text, as doc_id, and the id as _id.
+
+    Rows of null or repeated ids thus go by verdicts of their own; rows with the
+    same id and text are alike in every verdict.
+    """
+    own = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), F.col("text").cast("string"))
+    return docs.withColumn("_id", F.col("doc_id")).withColumn("doc_id", own)
+
+
 def _keep(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
-    """Rows of docs whose doc_id the verdict keeps; a null id goes by its own verdict."""
-    good = verdict.where(keep).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """Rows of docs, as they were, whose key the verdict on _keyed(docs) keeps."""
+    good = verdict.where(keep).select(F.col("doc_id").alias("_key")).distinct()
+    kept = _keyed(docs).join(good, F.col("doc_id") == F.col("_key"), "left_semi")
+    return kept.withColumn("doc_id", F.col("_id")).drop("_id")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return _keep(docs, quality.score_texts(docs, model), f"score >= {QUALITY}")
+    return _keep(docs, quality.score_texts(_keyed(docs), model), f"score >= {QUALITY}")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return _keep(docs, toxicity.score_texts(docs, model), f"score < {TOXIC}")
+    return _keep(docs, toxicity.score_texts(_keyed(docs), model), f"score < {TOXIC}")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays."""
-    kept = _keep(docs, jaccard.near_duplicates(docs), "doc_id <=> component_id")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each class of near-duplicates (five-word shingles, Jaccard 0.8 or more) one row stays.
+
+    It is the one with the smallest doc_id, null ids last, then with the
+    smallest key. Rows outside any class all stay, whatever their ids.
+    """
+    keyed = _keyed(docs)
+    found = stored(jaccard.classes(keyed)).join(keyed.select("doc_id", "_id").distinct(), "doc_id")
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id")).alias("first"))
+    # rows with one key are exact copies, of which one stays
+    kept = keyed.join(first.select(F.col("first.doc_id").alias("_key")), F.col("doc_id") == F.col("_key"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.withColumn("doc_id", F.col("_id")).drop("_id")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")), "not contaminated")
+    return _keep(docs, decontaminate.contamination(_keyed(docs), read(spark, sf_dir, "benchmark")), "not contaminated")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
