@@ -45,3 +45,18 @@ def test_communities_of_the_whole_graph(on, name):
     cliques = [(f"{c}{i}", f"{c}{j}", 1, None) for c in "xy" for i in range(5) for j in range(i)]
     got = {r["node_id"]: r["community"] for r in on(name, [*cliques, ("x0", "y0", 1, None)])}
     assert got == {f"{c}{i}": f"{c}0" for c in "xy" for i in range(5)}
+
+
+def test_windows_span_all_dates(on):
+    dates = ["1995-01-02", "1997-06-30", "2001-11-04", None]
+    pairs = [(f"a{i}", f"b{i}", 1, d) for i, d in enumerate(dates)]
+    spans = on("w02_windows_all", pairs)
+    assert all(any(r["window_start"] <= d <= r["window_end"] for r in spans) for d in dates if d)
+    assert spans[0]["window_start"] == "1995-01-02"
+    counts = {r["window_id"]: r["edge_count"] for r in on("w01_snapshots_all", pairs)}
+    assert len(counts) == len(spans)
+    assert sum(n or 0 for n in counts.values()) == sum(r["window_start"] <= d <= r["window_end"] for r in spans for d in dates if d)
+    assert len(on("w05_velocity_all", pairs)) == 1
+    assert {r["window_id"] for r in on("w03_changes", pairs)} > {1}
+    assert [on("w02_windows_all", [("a", "b", 1, d)])[0]["window_start"] for d in ("1980-05-05",)] == ["1980-05-05"]
+    assert on("w02_windows_all", [("a", "b", 1, None)]) == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,18 @@ def _spans(spark: SparkSession) -> DataFrame:
     return W.windows(spark, "2001-01-01", "2001-12-31", 30, 7)
 
 
+def _all_spans(g: TradeGraph) -> DataFrame:
+    """Windows from the first to the last date of the edges; the last one may end after it."""
+    day = F.try_to_date(F.substring("last_seen", 1, 10))
+    lo, hi = g.edges.agg(F.min(day), F.max(day)).first()
+    if lo is None:
+        return _spans(g.edges.sparkSession).where("false")
+    days, overlap = 30, 7
+    # the last start lies less than a window before the last date
+    end = max(hi + timedelta(days - overlap - 1), lo + timedelta(days - 1))
+    return W.windows(g.edges.sparkSession, str(lo), str(end), days, overlap)
+
+
 def _weights(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = B.weighted(graph(spark, sf_dir).edges.drop("weight"), AS_OF, EdgeWeights(method=method))
@@ -86,14 +100,21 @@ def queries() -> dict:
     def on(f):
         return lambda spark, sf_dir: f(graph(spark, sf_dir))
 
-    def snap(f):
+    def snap(f, whole=False):
         def run(spark, sf_dir):
-            s = _spans(spark)
-            e = stored(W.snapshot_edges(graph(spark, sf_dir).edges, s))
+            g = graph(spark, sf_dir)
+            s = _all_spans(g) if whole else _spans(spark)
+            e = stored(W.snapshot_edges(g.edges, s))
             return f(s, e)
 
         return run
 
+    def snapshots(s, e):
+        return W.snapshots(e, s, with_components=False).select("window_id", "window_start", "window_end", "node_count", "edge_count", _r("density", 9))
+
+    def velocity(s, e):
+        return W.velocity(stored(W.snapshots(e, s, with_components=False)), e).select(*[_r(c, 9) for c in ("node_growth", "edge_growth", "density_trend", "turnover")])
+
     joined = lambda c: F.array_join(c, "|").alias(c)
     return {
         "top_links": top_links,
@@ -135,11 +156,15 @@ def queries() -> dict:
         "m09_shared": on(lambda g: M.shared_addresses(g, by_country(g))),
         "p01_propagate": on(lambda g: P.propagate(g, g.node("IMP:1").select("node_id", F.lit(0.9).alias("risk"))).select("node_id", _r("risk"), "depth", joined("path"))),
         "p06_summary": on(lambda g: P.summary(_risky(g)).select("total_nodes", *[_r(c) for c in ("mean", "median", "max", "std")], "flagged", "at_risk", "low", "medium", "high", "critical")),
-        "w01_snapshots": snap(lambda s, e: W.snapshots(e, s, with_components=False).select("window_id", "window_start", "window_end", "node_count", "edge_count", _r("density", 9))),
+        # the SQL of w01, w02 and w05 has the windows of 2001; those named _all span all dates
+        "w01_snapshots": snap(snapshots),
+        "w01_snapshots_all": snap(snapshots, whole=True),
         "w02_windows": lambda s, d: _spans(s),
-        "w03_changes": snap(lambda s, e: W.changes(e, stored(W.snapshots(e, s))).select("window_id", "change_type", _r("severity"), _r("previous"), _r("current"), "count")),
+        "w02_windows_all": on(_all_spans),
+        "w03_changes": snap(lambda s, e: W.changes(e, stored(W.snapshots(e, s))).select("window_id", "change_type", _r("severity"), _r("previous"), _r("current"), "count"), whole=True),
         "w04_evolution": on(lambda g: W.evolution(by_country(g), by_country(g).select("node_id", F.substring("community_id", -1, 1).alias("community_id"))).select("community_id", "event_type", "previous_size", "current_size", _r("jaccard_similarity"))),
-        "w05_velocity": snap(lambda s, e: W.velocity(stored(W.snapshots(e, s, with_components=False)), e).select(*[_r(c, 9) for c in ("node_growth", "edge_growth", "density_trend", "turnover")])),
+        "w05_velocity": snap(velocity),
+        "w05_velocity_all": snap(velocity, whole=True),
         "r01_cycles": lambda s, d: R.circular(companies(s, d)).select(F.array_join("cycle", ">").alias("cycle"), F.col("length").cast("bigint").alias("length"), _r("total_value", 2)),
         "r02_clusters": on(lambda g: R.clusters(g)),
         "r06_groups": on(lambda g: R.cluster_groups(g).select("component", "clusters", "types", "largest", _r("confidence"))),
