@@ -60,3 +60,57 @@ def test_windows_span_all_dates(on):
     assert {r["window_id"] for r in on("w03_changes", pairs)} > {1}
     assert [on("w02_windows_all", [("a", "b", 1, d)])[0]["window_start"] for d in ("1980-05-05",)] == ["1980-05-05"]
     assert on("w02_windows_all", [("a", "b", 1, None)]) == []
+
+
+PATH = [(f"n{i:02}", f"n{i + 1:02}", 1 + i % 3, None) for i in range(12)] + [("n03", "n00", 2, None), ("n12", "n05", 1, None), ("n07", "n02", 1, None), ("n01", "n05", 1, None)]
+
+
+def dense(pairs):
+    import numpy as np
+
+    names = sorted({n for p in pairs for n in p[:2]})
+    m = np.zeros((len(names),) * 2)
+    for a, b, w, _ in pairs:
+        m[names.index(a), names.index(b)] += w
+    return names, m
+
+
+def test_pagerank_settles(on):
+    import numpy as np
+
+    names, m = dense(PATH)
+    step, x = m / m.sum(1, keepdims=True), np.full(len(names), 1 / len(names))
+    for _ in range(1000):
+        x = 0.85 * x @ step + 0.15 / len(names)
+    got = {r["node_id"]: r["score"] for r in on("c01_pagerank", PATH)}
+    assert [got[n] for n in names] == pytest.approx(x, abs=len(names) * 1e-5)
+
+
+def test_hits_settle(on):
+    import numpy as np
+
+    pairs = [("a", "x", 5, None), ("a", "y", 1, None), ("b", "x", 2, None), ("b", "z", 1, None), ("c", "y", 1, None), ("x", "c", 1, None)]
+    names, m = dense(pairs)
+    h = np.ones(len(names))
+    for _ in range(5000):
+        a = h @ m
+        h = m @ (a / a.sum())
+        h /= h.sum()
+    got = {r["node_id"]: (r["hub"], r["authority"]) for r in on("c06_hits", pairs)}
+    assert [got[n][0] for n in names] == pytest.approx(h, abs=1e-6)
+    assert [got[n][1] for n in names] == pytest.approx(a / a.sum(), abs=1e-6)
+
+
+def test_labels_settle_beyond_three_rounds(on):
+    pairs = [(f"n{i:02}", f"n{i + 1:02}", 1, None) for i in range(8)]
+    near = {n: [b if a == n else a for a, b, *_ in pairs if n in (a, b)] for n in {x for p in pairs for x in p[:2]}}
+    labels, rounds = {n: n for n in near}, 0
+    while True:
+        votes = {n: [labels[x] for x in [*near[n], n]] for n in near}
+        new = {n: min(v, key=lambda x: (-v.count(x), x)) for n, v in votes.items()}
+        rounds += 1
+        if new == labels:
+            break
+        labels = new
+    assert 4 < rounds <= 10
+    assert {r["node_id"]: r["community"] for r in on("m03_label_propagation", pairs)} == labels

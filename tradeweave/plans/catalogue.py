@@ -139,17 +139,20 @@ def queries() -> dict:
         "g02_path": on(lambda g: G.shortest_path(g, "IMP:1", "COMM:" + _commodity(g)).select(F.array_join("path", "|").alias("path"), F.col("length").cast("bigint").alias("length"))),
         "g03_components": on(lambda g: G.components(g)),
         "c01_pagerank_3it": on(lambda g: C.pagerank(g, max_iter=3, tol=0).select("node_id", _r("score", 9))),
+        "c01_pagerank": on(lambda g: C.pagerank(g).select("node_id", _r("score", 9))),
         "c02_betweenness": on(lambda g: C.betweenness(g, normalized=False, weighted=False).select("node_id", _r("score"))),
         "c03_degree": on(lambda g: C.degree(g).select("node_id", _r("score", 9))),
         "c04_in_degree": on(lambda g: C.degree(g, "in_degree").select("node_id", _r("score", 9))),
         "c05_out_degree": on(lambda g: C.degree(g, "out_degree").select("node_id", _r("score", 9))),
         "c06_hits_3it": on(lambda g: C.hits(g, max_iter=3, tol=0).select("node_id", _r("hub", 9), _r("authority", 9))),
+        "c06_hits": on(lambda g: C.hits(g).select("node_id", _r("hub", 9), _r("authority", 9))),
         "c08_divergence": on(lambda g: C.divergence(g).select("node_id", _r("divergence"))),
         "c09_statistics": on(lambda g: C.statistics(C.degree(g, normalized=False)).select(*[_r(c) for c in ("mean", "std", "max", "min", "median")])),
         "c10_simple": on(lambda g: g.simple_digraph().select("src", "dst", _r("weight"))),
         "m01_louvain": on(lambda g: M.louvain(g)),
         "m02_leiden": on(lambda g: M.leiden(g)),
         "m03_label_propagation_3it": on(lambda g: M.label_propagation(g, 3)),
+        "m03_label_propagation": on(lambda g: M.label_propagation(g)),
         "m05_modularity": on(lambda g: M.modularity(g, by_country(g)).select(_r("modularity"))),
         "m06_metrics": on(lambda g: M.metrics(g, by_country(g)).select("community_id", "size", "internal_edges", "external_edges", _r("density"))),
         "m08_anomalies": on(lambda g: M.anomalies(g, by_country(g)).select("community_id", "size", joined("anomaly_indicators"), "shared_addresses")),
