@@ -114,3 +114,22 @@ def test_labels_settle_beyond_three_rounds(on):
         labels = new
     assert 4 < rounds <= 10
     assert {r["node_id"]: r["community"] for r in on("m03_label_propagation", pairs)} == labels
+
+
+def test_shells_see_betweenness(on, monkeypatch, spark):
+    # m is on every path from left to right, yet has no more links than the ends of the fan
+    pairs = [("a", "m", 1, None), ("b", "m", 1, None), ("m", "c", 1, None), ("c", "d", 1, None), ("c", "e", 1, None)]
+    seen = {}
+    monkeypatch.setattr(catalogue, "_risky", lambda g: g)
+    monkeypatch.setattr(catalogue.H, "score", lambda g, c, *a, **k: seen.update({r[0]: r[1] for r in c.collect()}) or g.nodes.select("node_id", F.lit(0.0).alias("confidence"), F.array().alias("indicators")))
+    on("h06_shells", pairs)
+    # paths through m: from a and b to c, d, e; through c: from a, b, m to d, e
+    want = {"a": (1, 0), "b": (1, 0), "m": (3, 6), "c": (3, 6), "d": (1, 0), "e": (1, 0)}
+    assert seen == pytest.approx({n: 0.4 * d / 5 + 0.6 * b / 20 for n, (d, b) in want.items()})
+
+
+def test_facilitators_rank_bridges_first(on):
+    pairs = [("a", "m", 1, None), ("b", "m", 1, None), ("m", "c", 1, None), ("c", "d", 1, None), ("c", "e", 1, None)]
+    got = on("c07_facilitators", pairs)
+    assert {r["node_id"] for r in got[:2]} == {"m", "c"}
+    assert [r["node_id"] for r in got if "high_betweenness" in r["risk_indicators"]] == [r["node_id"] for r in got[:2]]

@@ -146,6 +146,7 @@ def queries() -> dict:
         "c05_out_degree": on(lambda g: C.degree(g, "out_degree").select("node_id", _r("score", 9))),
         "c06_hits_3it": on(lambda g: C.hits(g, max_iter=3, tol=0).select("node_id", _r("hub", 9), _r("authority", 9))),
         "c06_hits": on(lambda g: C.hits(g).select("node_id", _r("hub", 9), _r("authority", 9))),
+        "c07_facilitators": on(_facilitators),
         "c08_divergence": on(lambda g: C.divergence(g).select("node_id", _r("divergence"))),
         "c09_statistics": on(lambda g: C.statistics(C.degree(g, normalized=False)).select(*[_r(c) for c in ("mean", "std", "max", "min", "median")])),
         "c10_simple": on(lambda g: g.simple_digraph().select("src", "dst", _r("weight"))),
@@ -181,7 +182,7 @@ def queries() -> dict:
         "h02_volumes": on(lambda g: H.volumes(g).select("node_id", _r("volume", 2))),
         "h03_flagged": on(lambda g: H.flagged_connections(_risky(g))),
         "h04_commodities": on(lambda g: H.commodities(g)),
-        "h06_shells": on(lambda g: H.score(_risky(g), C.degree(g), AS_OF, min_confidence=0.3).select("node_id", _r("confidence"), joined("indicators"))),
+        "h06_shells": on(lambda g: H.score(_risky(g), H.combined_centrality(g), AS_OF, min_confidence=0.3).select("node_id", _r("confidence"), joined("indicators"))),
         "e01_entity_signals": on(lambda g: E.entity_signals(_risky(g), 0.5).select("signal_type", "severity", _r("confidence"), joined("entity_ids"))),
         "q05_high_risk": on(lambda g: E.high_risk(_risky(g), 0.5, limit=None).select("node_id", _r("risk_score"), "risk_level", joined("indicators"), "neighbor_count")),
     }
@@ -198,6 +199,11 @@ def _missing(g: TradeGraph) -> DataFrame:
     return H.missing_traders(g, H.carousels(g, cfg), AS_OF, cfg)
 
 
+def _facilitators(g: TradeGraph) -> DataFrame:
+    """With exact betweenness and settled ranks, for all node types."""
+    return C.facilitators(g, C.betweenness(g), C.pagerank(g)).select("node_id", _r("bridging_score"), "in_degree", "out_degree", F.array_join("risk_indicators", "|").alias("risk_indicators"))
+
+
 def _commodity(g: TradeGraph) -> str:
     """The hs code of the smallest commodity that importer 1 declares."""
     d = g.edges_where(src="IMP:1", edge_type="DECLARES").select(F.col("dst").alias("src"))
