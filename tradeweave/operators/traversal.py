@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import stored
+from ..plans.tables import dropped, stored
 from .graph import TradeGraph
 
 
@@ -53,22 +53,26 @@ def shortest_path(graph: TradeGraph, source: str, target: str, weighted: bool =
 def label_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (smallest node reachable) of the nodes in undirected pairs.
 
-    Large-star and small-star steps in turn, until the stars stand still.
+    Large-star and small-star steps in turn, until every node has one edge, to a
+    root that has none. No node's neighbours meet in one row: steps take minima
+    by key and join them back, which adaptive execution can split. Self-loops and
+    repeats don't matter; nodes without another are left out.
     """
     e = stored(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
     while True:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large)
+        dropped(e)
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = stored(e.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        e = stored(small.where("u <> v").distinct())
+        dropped(large)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v"), F.col("v")).distinct().toDF("node", "component"))
 
 

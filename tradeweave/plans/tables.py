@@ -9,15 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; a folder is made only where that is unset."""
+    """A new path in spark.checkpoint.dir. Only a local master may do without it: a folder is made then."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tradeweave-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tw-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared folder and read back: lineage ends here."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that no later read needs."""
+    for t in tables:
+        if path := getattr(t, "stored_path", None):
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
