@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A new path in spark.checkpoint.dir. Only a local master may do without it: a folder is made then."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tradeweave-")
         spark.sparkContext.setCheckpointDir(base)
