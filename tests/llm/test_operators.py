@@ -39,14 +39,14 @@ def brute_fp(t):
 
 
 def test_simhash_matches_brute_force(spark):
-    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs(spark, TEXTS), 4, 1, 4).collect()}
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs(spark, TEXTS), 4, 4).collect()}
     fps = [brute_fp(t) for t in TEXTS]
     label = list(range(len(TEXTS)))
     for _ in TEXTS:
         label = [min(label[j] for j in range(len(TEXTS)) if (fps[i] ^ fps[j]).bit_count() <= 4) for i in range(len(TEXTS))]
     assert [int(got[i]["fingerprint"], 16) for i in range(len(TEXTS))] == fps
     assert [got[i]["component_id"] for i in range(len(TEXTS))] == label
-    assert simhash.near_duplicates(docs(spark, []), 4, 1, 4).count() == 0
+    assert simhash.near_duplicates(docs(spark, []), 4, 4).count() == 0
 
 
 def test_bit_sliced_comparison_matches_popcount():
@@ -65,11 +65,11 @@ def test_bit_sliced_comparison_matches_popcount():
 
 
 def test_simhash_large_groups_are_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP", 4)
+    monkeypatch.setattr(simhash, "CHUNK", 4)
     texts = ["the quick brown fox jumps over the lazy dog again and again " * 4 + x for x in "abcdefghij"]
-    a = {(r[0], r[2]) for r in simhash.near_duplicates(docs(spark, texts), 4, 1, 4).collect()}
-    monkeypatch.setattr(simhash, "GROUP", 4096)
-    assert a == {(r[0], r[2]) for r in simhash.near_duplicates(docs(spark, texts), 4, 1, 4).collect()}
+    a = {(r[0], r[2]) for r in simhash.near_duplicates(docs(spark, texts), 4, 4).collect()}
+    monkeypatch.setattr(simhash, "CHUNK", 2048)
+    assert a == {(r[0], r[2]) for r in simhash.near_duplicates(docs(spark, texts), 4, 4).collect()}
 
 
 def test_language_model_base_scores(spark):
@@ -183,8 +183,40 @@ def test_language(spark):
 
 
 def test_mixing(spark):
-    got = mixing.mixed(docs(spark, TEXTS)).collect()
+    d = docs(spark, TEXTS)
+    got = mixing.mixed(d).collect()
+    assert mixing.mixed(d).columns == [*d.columns, "mix"]
     assert len(got) == len(TEXTS)
-    assert all(0 <= r["p"] <= 1 for r in got)
-    assert not any(r["selected"] for r in got if not (r["text"] or "").split())
+    for r in got:
+        t = (r["text"] or "").encode()
+        assert r["mix"]["n_tokens"] == len(t.split())
+        assert r["mix"]["topic"] == mixing.topic_of(t)
+        assert 0 <= r["mix"]["p"] <= 1
+        assert t.split() or not r["mix"]["selected"]
     assert mixing.mixed(docs(spark, [])).count() == 0
+
+
+def test_mixing_leaves_clashing_columns_alone(spark):
+    d = spark.createDataFrame([(1, "a b", "en", "s", 5, "m", 7, 8), (2, None, None, None, 5, "m", 7, 8)], "doc_id bigint, text string, lang string, source string, p int, Mix string, n_tokens int, cell int")
+    out = mixing.mixed(d)
+    assert out.columns == [*d.columns, "mix_"]
+    assert {tuple(r)[:8] for r in out.collect()} == {tuple(r) for r in d.collect()}
+    assert out.where("mix_.selected and doc_id = 2").count() == 0
+
+
+def test_mixing_meets_given_targets(spark):
+    """Feasible targets of all three dimensions are met; infeasible ones are reported as missed."""
+    rows = [(i, "w " * 20, "en" if i % 3 else "de", f"s{i % 4}", f"t{i % 5}") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, subject string")
+    targets = {"lang": {"en": 0.6, "de": 0.4}, "source": {"s0": 0.4, "*": 0.6}, "topic": {f"t{k}": 0.2 for k in range(5)}}
+    got = {(r["dimension"], r["value"]): r for r in mixing.marginals(d, targets, rate=0.3, topic="subject").collect()}
+    assert all(abs(r["misfit"]) < 1e-6 for r in got.values())
+    assert got["lang", "de"]["reached"] == pytest.approx(0.4)
+    assert got["source", "s0"]["target"] == pytest.approx(0.4)
+    assert got["source", "s1"]["target"] == pytest.approx(0.2)
+    p = {(r["lang"], r["source"], r["subject"]): r["mix"]["p"] for r in mixing.mixed(d, targets, rate=0.3, topic="subject").collect()}
+    assert sum(p[r[2:]] for r in rows) == pytest.approx(0.3 * 600, rel=1e-6)
+    far = {(r["dimension"], r["value"]): r for r in mixing.marginals(d, {"lang": {"de": 1.0}}, rate=0.9, topic="subject").collect()}
+    assert far["lang", "en"]["target"] == 0 and far["lang", "en"]["tokens"] > 0
+    with pytest.raises(ValueError, match="below 0"):
+        mixing.mixed(d, {"lang": {"de": -1.0}})

@@ -2,9 +2,13 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
+
+import numpy as np
 
 import corpus_pipeline
 from tradeweave.llm import quality, toxicity
+from tradeweave.llm.common import scores
 
 D = "doc_id bigint, text string, lang string, source string"
 WORDS = [f"w{i}" for i in range(500)]
@@ -28,6 +32,20 @@ def brute_dedup(given):
     return Counter((None if rank[0] else rank[1], text) for text, rank in best.items())
 
 
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    """Columns that operators use inside are kept as they are, through all stages."""
+    names = ("score", "doc_id_", "mix", "n_tokens", "p", "selected", "topic_key", "id", "bag", "class_id", "_id", "_key")
+    extra = ", ".join(f"{n} int" for n in names)
+    given = [(*r, *range(len(names))) for r in rows()]
+    spark.createDataFrame(given, f"{D}, {extra}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", *names]
+    assert {tuple(r) for r in out.collect()} <= set(given)
+    assert out.count() > 0
+
+
 def test_dedup_goes_by_rows(spark):
     given = rows()
     kept = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(given, D), "")
@@ -45,14 +63,12 @@ def test_verdicts_go_by_rows(spark, monkeypatch):
     for module, good in ((quality, lambda t: 0.9), (toxicity, lambda t: 0.0)):
         score = {t: (1 - good(t)) if t in bad else good(t) for _, t, *_ in given}
 
-        class Model:
-            def __init__(self, score):
-                self.known = {(t or "").encode(): s for t, s in score.items()}
+        known = {(t or "").encode(): x for t, x in score.items()}
 
-            def score(self, texts):
-                return [self.known[t] for t in texts]
+        def look(texts, known=known):
+            return np.array([known[t] for t in texts])
 
-        monkeypatch.setattr(module, "fit", lambda *a, m=Model(score): m)
+        monkeypatch.setattr(module, "fit", lambda *a, f=look: SimpleNamespace(column=lambda text: scores(f, text)))
     want = Counter(r for r in given if r[1] not in bad)
     for stage in (corpus_pipeline.quality_stage, corpus_pipeline.toxicity_stage, corpus_pipeline.benchmark_stage):
         assert Counter(map(tuple, stage(spark, d, "").collect())) == want, stage

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tradeweave.llm import jaccard
+from tradeweave.llm import simhash
 
 D = "doc_id bigint, text string"
 
@@ -43,19 +43,50 @@ def corpus(copies=12):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("common,group", [(8, 4096), (10**6, 8)])
-def test_classes_match_brute_force(spark, monkeypatch, common, group):
-    monkeypatch.setattr(jaccard, "COMMON", common)
-    monkeypatch.setattr(jaccard, "GROUP", group)
+@pytest.mark.parametrize("common,chunk", [(8, 2048), (10**6, 8)])
+def test_classes_match_brute_force(spark, monkeypatch, common, chunk):
+    monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
     rows = corpus()
     want = brute(rows)
-    got = {r[0]: r[1] for r in jaccard.near_duplicates(spark.createDataFrame(rows, D)).collect()}
+    got = first_ids(simhash.similar(spark.createDataFrame(rows, D)).collect())
     assert [got[i] for i, _ in rows] == want
     assert 30 < len(set(want)) < len(rows) - 30
 
 
+def first_ids(found):
+    low = {}
+    for i, c in sorted(found):
+        low.setdefault(c, i)
+    return {i: low[c] for i, c in found}
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """A chain whose links are neighbours only: every chunk holds strangers, and the largest class grows slowly."""
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    w = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w[i * 3 : i * 3 + 60]) for i in range(40)]
+    rows = list(enumerate(texts)) + [(100 + i, " ".join(w[:60] + [f"other{i}"] * 30)) for i in range(5)]
+    want = brute(rows)
+    got = first_ids(simhash.similar(spark.createDataFrame(rows, D)).collect())
+    assert [got[i] for i, _ in rows] == want
+    assert len(set(want[:40])) == 1
+
+
+def test_pieces_give_all_shingles(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["a", "bc", "d", " ", "\n", "\t", "  "]) for _ in range(4000)).encode() + b"x" * 300 + b" end"
+    whole = {k: simhash.shingle_hashes(text, k).tolist() for k in (1, 4, 5)}
+    for size in (16, 100):
+        monkeypatch.setattr(simhash, "PIECE", size)
+        assert b"".join(simhash.pieces(text)) == text
+        assert {k: simhash.shingle_hashes(text, k).tolist() for k in whole} == whole
+
+
 def test_no_rows(spark):
-    assert jaccard.near_duplicates(spark.createDataFrame([], D)).count() == 0
+    assert simhash.similar(spark.createDataFrame([], D)).count() == 0
 
 
 def test_pipeline_stage_keeps_dissimilar_and_drops_similar(spark):

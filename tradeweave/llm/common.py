@@ -1,15 +1,18 @@
-"""Shared helpers: text normalisation, splits, shared-folder tables, Arrow maps."""
+"""Shared helpers: text normalisation, splits, samples, Arrow maps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..plans.tables import dropped, shared_dir, stored
+
+__all__ = ["dropped", "shared_dir", "stored"]
 
 #: Bytes that separate words of the "letters and digits" kind: ASCII other than 0-9 A-Z a-z.
 _ALNUM = bytes(
@@ -38,45 +41,40 @@ def split_of(doc_id: str | Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share.
+#: Rows that a Python function sees at once, at most; Spark bounds the bytes of a batch.
+SLICE = 1000
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local mode, tests) one is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tradeweave-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tw-{uuid.uuid4().hex}"
 
+def binaries_of(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.binary()).to_pylist()
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written as a table in the shared folder and read back: lineage ends here."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def binaries(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
+    return binaries_of(batch.column(name))
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most this many rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
+def scores(fn: Callable[[list[bytes]], np.ndarray], text: str) -> Column:
+    """``fn``'s double for each text of a column; null texts count as empty. No other column leaves the JVM."""
 
-def binaries(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [fn([t or b"" for t in binaries_of(texts.slice(at, SLICE))]) for at in range(0, len(texts), SLICE)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    return run(F.col(text).cast("string"))
 
 
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str
 ) -> DataFrame:
-    """``fn`` turns each Arrow batch into columns by name; rows may differ in number."""
-    names = [f.name for f in _schema(schema)]
+    """``fn`` turns slices of Arrow batches into columns by name; rows may differ in number."""
+    names = [f.name for f in StructType.fromDDL(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            yield pa.RecordBatch.from_arrays([as_arrow(out[n]) for n in names], names=names)
+            for at in range(0, batch.num_rows, SLICE):
+                out = fn(batch.slice(at, SLICE))
+                yield pa.RecordBatch.from_arrays([as_arrow(out[n]) for n in names], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -87,10 +85,17 @@ def as_arrow(x: object) -> pa.Array:
     return x if isinstance(x, pa.Array) else pa.array(x)
 
 
-def _schema(ddl: str):
-    from pyspark.sql.types import StructType
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores after it until no column has it, in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
-    return StructType.fromDDL(ddl)
+def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id as long, text as string, and more columns; no others, so that none clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def sampled(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
@@ -100,18 +105,26 @@ def sampled(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text, y of at most ``rows`` labelled documents of each label, 0 and 1.
+    """doc_id, text, y of at most ``rows`` labelled rows of each label, 0 and 1.
 
     Ids are chosen before texts are read: only the chosen ids, 2 * rows at most,
-    are broadcast to the documents, whose texts aren't shuffled.
+    are broadcast to the documents, whose texts aren't shuffled. Where ids repeat,
+    so that more rows than that have them, those first by a hash of id and text
+    stay. Labels other than 0 and 1 are left out; of two labels of an id the
+    greater counts.
     """
     y = F.col(label).cast("int")
     known = labels.where(y.isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(y).alias("y"))
     known = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id"))
     chosen = [sampled(known.where(F.col("y") == v), "doc_id", rows, label) for v in (0, 1)]
     chosen = stored(chosen[0].unionByName(chosen[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))
+    found = stored(texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))
+    seen = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
+    if max(seen.values(), default=0) <= rows:
+        return found
+    order = (F.xxhash64(F.lit(label), "doc_id", "text"), F.col("doc_id"), F.col("text"))
+    kept = [found.where(F.col("y") == v).orderBy(*order).limit(rows) for v in (0, 1)]
+    return stored(kept[0].unionByName(kept[1]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -19,6 +19,8 @@ WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmarks of at most this many distinct shingles are matched in place and broadcast; larger ones by shuffled joins.
 IN_PLACE = 20_000
+#: Keys that a shingle's places are dealt to in shuffled joins.
+SALT = 16
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,6 +48,11 @@ def _quoted(values: list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)  # words have no quotes or backslashes
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each row once for each salt: a frequent shingle's places are dealt to SALT tasks."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
 def _places(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of the text), n_words, occ: place and shingle of all
     benchmark shingles of two words, in order; one: those of one word."""
@@ -68,7 +75,8 @@ def _places(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     base = base.select("doc_id", "mark", "n_words", "w")
     pairs = F.expr("if(n_words < 2, cast(array() as array<string>), " + _pairs("w", "n_words - 2") + ")")
     rows = [base.select("doc_id", "mark", F.lit(n).alias("kind"), F.posexplode(a).alias("pos", "s")) for n, a in ((2, pairs), (1, F.col("w")))]
-    rows = rows[0].unionByName(rows[1]).join(vocabulary, "s", "left_semi")
+    rows = rows[0].unionByName(rows[1]).withColumn("salt", F.pmod("pos", F.lit(SALT)))
+    rows = rows.join(_salted(vocabulary), ["s", "salt"], "left_semi")
     place = F.struct("pos", "s")
     occ = rows.groupBy("doc_id", "mark").agg(
         *[F.array_sort(F.collect_set(F.when(F.col("kind") == k, place))).alias(n) for k, n in ((2, "occ"), (1, "one"))]
@@ -118,7 +126,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             near = F.expr(f"filter(sequence(0, size({column}) - 1), j -> {column}[j].s in ({_quoted(keys)}))")
         candidates = candidates.select("doc_id", "mark", "n_words", F.col(column).alias("o"), F.explode(near).alias("j"))
         candidates = candidates.withColumn("shingle", F.expr("o[j].s")).withColumn("pos", F.expr("o[j].pos"))
-        c = candidates.join(held(own), "shingle")
+        if small:
+            c = candidates.join(F.broadcast(own), "shingle")
+        else:
+            c = candidates.withColumn("salt", F.pmod("pos", F.lit(SALT))).join(_salted(own), ["shingle", "salt"])
         fits = "pos - offset >= 0 and pos - offset + n <= n_words and j - offset >= 0 and j - offset + size(s) <= size(o)"
         c = c.where(fits).withColumn("run", F.expr("slice(o, greatest(1, j - offset + 1), size(s))"))
         c = c.where("run[size(s) - 1].pos - run[0].pos = size(s) - 1 and transform(run, x -> x.s) = s")

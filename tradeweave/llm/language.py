@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import binaries, map_batches, read, small_batches, split_of, stored
+from .common import binaries, map_batches, read, split_of, stored, texts_of
 
-#: Labelled rows that the network learns from: about this many of each language.
-SAMPLE = 500
+#: Labelled rows that the network learns from, at most, of each language; languages that it learns, the most frequent ones.
+SAMPLE, LANGUAGES = 500, 200
 WINDOWS = 4  # windows of a training text
 WINDOW = 130  # bytes; pooled over the triples that start at all but the last two
 WIDTHS, FILTERS, EMBED = (1, 2, 3), 16, 8
@@ -151,22 +152,27 @@ class Model:
 
 
 def fit(docs: DataFrame, lang: str = "lang") -> Model:
-    """Learns from about SAMPLE rows of each language, WINDOWS windows of each.
+    """Learns from at most SAMPLE rows of each of the LANGUAGES most frequent languages, WINDOWS windows of each row.
 
     Rows with a null language or a text without words are left out; without any
-    rows the model predicts UNKNOWN.
+    rows the model predicts UNKNOWN. Rows are chosen by a hash of their id, and of
+    rows with one id by a hash of the text. Ids are chosen before texts are read,
+    so that texts aren't shuffled.
     """
-    known = docs.where(F.col(lang).isNotNull() & (F.length(F.trim("text")) > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    ids = stored(known.select("doc_id", "lang").join(counts, "lang").where(draw * F.col("n") < SAMPLE).select("doc_id").distinct())
-    # about SAMPLE ids of each language: broadcast where that is few, so that texts aren't shuffled
-    chosen = known.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "doc_id", "left_semi")
+    known = texts_of(docs, F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    order = F.xxhash64(F.lit("language"), "doc_id")
+    first = Window.partitionBy("lang").orderBy(order, "doc_id")
+    ids = known.select("doc_id", "lang").join(F.broadcast(most.select("lang")), "lang").distinct()
+    ids = stored(ids.withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE).select("doc_id", "lang"))  # SAMPLE * LANGUAGES rows at most
     spaced = F.expr(
         f"transform(sequence(0, {WINDOWS - 1}), i -> substring(text, cast(floor(i * greatest(0, length(text) - {WINDOW}) / {WINDOWS}) + 1 as int), {WINDOW}))"
     )
-    rows = chosen.select("doc_id", "lang", spaced.alias("parts")).collect()  # about SAMPLE rows of each language
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"] or 0, r["parts"]))
+    rows = known.join(F.broadcast(ids), [known["doc_id"].eqNullSafe(ids["doc_id"]), known["lang"] == ids["lang"]])
+    rows = rows.select(known["doc_id"], known["lang"], F.xxhash64("text").alias("mark"), spaced.alias("parts"))
+    again = Window.partitionBy("lang").orderBy(order, "doc_id", "mark")
+    rows = rows.withColumn("at", F.row_number().over(again)).where(F.col("at") <= SAMPLE).select("lang", "at", "parts").collect()  # as many as ids, again
+    rows.sort(key=lambda r: (r["lang"], r["at"]))
     model = Model(sorted({r["lang"] for r in rows}) or [UNKNOWN])
     if rows:
         number = {n: i for i, n in enumerate(model.names)}
@@ -186,8 +192,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language first by name. Very long texts are read whole. Repeated rows return
     as often as they occur. Other columns of docs are ignored.
     """
-    small_batches(docs.sparkSession)
-
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         texts = [t or b"" for t in binaries(batch, "text")]
         p = model.probabilities(texts)
@@ -197,8 +201,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         score = np.where(lettered, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
         return {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": score}
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(docs, run, "doc_id long, lang_pred string, score double")
+    return map_batches(texts_of(docs), run, "doc_id long, lang_pred string, score double")
 
 
 def op8(spark: SparkSession, sf_dir: str, modulus: int = 4, held: int = 2) -> DataFrame:

@@ -11,9 +11,8 @@ from __future__ import annotations
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import alnum_words, binaries, map_batches, read, small_batches
+from .common import alnum_words, binaries, map_batches, read, texts_of
 
 #: Phrase and label of the exact base scan.
 PHRASES = (
@@ -92,9 +91,11 @@ def exact_places(text: bytes, phrases) -> list[tuple[int, str]]:
     found = []
     for phrase, label in phrases:
         p = b" " + phrase.encode() + b" "
-        at = text.find(p)
+        at, word, seen = text.find(p), 0, 0
         while at >= 0:
-            found.append((text.count(b" ", 0, at), label))
+            word += text.count(b" ", seen, at)
+            seen = at
+            found.append((word, label))
             at = text.find(p, at + 1)
     return found
 
@@ -113,13 +114,12 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     whole. Repeated rows return as often as they occur; ties of place are by
     label. Other columns of docs are ignored.
     """
-    small_batches(docs.sparkSession)
     phrases, notices = tuple(phrases), tuple(notices)
+    lengths = {label: len(n) for n, label, _ in notices}
+    compiled = Notices(notices)
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         rows = []
-        compiled = Notices(notices)
-        lengths = {label: len(n) for n, label, _ in notices}
         for t in binaries(batch, "text"):
             words = alnum_words(t or b"")
             s = b" " + b" ".join(words) + b" "
@@ -138,9 +138,8 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
         out = {n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)}
         return out | {"doc_id": batch.column("doc_id")}
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     return map_batches(
-        docs,
+        texts_of(docs),
         run,
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
         f"labels string, score double, hits array<{HIT}>",

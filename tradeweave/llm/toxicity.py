@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, labelled_sample, map_batches, read, sigmoid, small_batches, split_of
+from .common import binaries, labelled_sample, map_batches, read, scores, sigmoid, split_of, texts_of
 
 SIZES = (4, 5, 6)  # n-gram lengths in bytes
 BITS = 20  # hashed features: 2 ** BITS
@@ -21,12 +21,18 @@ SHRINK = 1.0
 STEPS, PENALTY = 400, 2e-3
 
 
-def grams(text: bytes) -> list[np.ndarray]:
-    """Hashed n-grams of the lower-cased text, in parts; a blank stands before and after."""
+PART = 1 << 18  # bytes of a text that are hashed at once
+
+
+def present(text: bytes, kept: np.ndarray | None = None) -> np.ndarray:
+    """Distinct hashed n-grams of the lower-cased text, of those kept only where given; a blank stands before and after.
+
+    Parts of the text, which overlap, are hashed one at a time.
+    """
     b = np.frombuffer(b" " + text.lower() + b" ", np.uint8)
-    out = []
-    for at in range(0, len(b), 1 << 18):  # parts of bounded size, with overlap
-        part = b[at : at + (1 << 18) + max(SIZES) - 1].astype(np.uint64)
+    out = [np.zeros(0, np.int32)]
+    for at in range(0, len(b), PART):
+        part = b[at : at + PART + max(SIZES) - 1].astype(np.uint64)
         for n in SIZES:
             if len(part) < n:
                 continue
@@ -34,16 +40,9 @@ def grams(text: bytes) -> list[np.ndarray]:
             for i in range(n):
                 h = (h << np.uint64(8)) | part[i : len(part) - n + 1 + i]
             h *= np.uint64(0x9E3779B97F4A7C15)
-            out.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-    return out
-
-
-def present(text: bytes, kept: np.ndarray | None = None) -> np.ndarray:
-    """Distinct hashed n-grams; of those kept only, where given."""
-    parts = grams(text)
-    if kept is not None:
-        parts = [p[kept[p]] for p in parts]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+            h = (h >> np.uint64(64 - BITS)).astype(np.int32)
+            out.append(np.unique(h if kept is None else h[kept[h]]))
+    return np.unique(np.concatenate(out))
 
 
 class Model:
@@ -56,6 +55,9 @@ class Model:
         x = [float(self.weights[present(t, self.kept)].sum()) if t else 0.0 for t in texts]
         return sigmoid(np.array(x, np.float64) + self.bias)
 
+    def column(self, text: str) -> Column:
+        return scores(self.score, text)
+
 
 def _counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Texts with each n-gram and texts, by label, summed over tasks."""
@@ -138,12 +140,11 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFr
     read whole. Repeated rows return as often as they occur. Other columns of
     docs are ignored.
     """
-    small_batches(docs.sparkSession)
+
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         return {"doc_id": batch.column("doc_id"), "score": model.score([t or b"" for t in binaries(batch, "text")])}
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = map_batches(docs, run, "doc_id long, score double")
+    scored = map_batches(texts_of(docs), run, "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
