@@ -5,61 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import decontaminate, jaccard, mixing, quality, toxicity
-from tradeweave.llm.common import read, stored
+from tradeweave.llm import decontaminate, mixing, quality, simhash, toxicity
+from tradeweave.llm.common import fresh, read, stored
 
-#: Below this score a document is rejected; it leaves doubtful ones in.
-QUALITY = 0.35
+#: The classifiers' own thresholds: documents below the one, or at or above the other, are rejected.
+QUALITY = 0.5
 TOXIC = 0.3
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of each row, a hash of its doc_id and text, as doc_id, and the id as _id.
+def _scored(docs: DataFrame, model, keep: str) -> DataFrame:
+    """Rows of docs whose score the condition keeps; scores are made where the rows lie, and nothing is shuffled."""
+    score = fresh("score", docs.columns)
+    return docs.withColumn(score, model.column("text")).where(f"`{score}` {keep}").drop(score)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the key of each row, a 64-bit hash of its doc_id and text, as doc_id; the name of a column with the id.
 
     Rows of null or repeated ids thus go by verdicts of their own; rows with the
     same id and text are alike in every verdict.
     """
     own = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), F.col("text").cast("string"))
-    return docs.withColumn("_id", F.col("doc_id")).withColumn("doc_id", own)
-
-
-def _keep(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
-    """Rows of docs, as they were, whose key the verdict on _keyed(docs) keeps."""
-    good = verdict.where(keep).select(F.col("doc_id").alias("_key")).distinct()
-    kept = _keyed(docs).join(good, F.col("doc_id") == F.col("_key"), "left_semi")
-    return kept.withColumn("doc_id", F.col("_id")).drop("_id")
+    held = fresh("doc_id_", docs.columns)
+    return docs.withColumn(held, F.col("doc_id")).withColumn("doc_id", own), held
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return _keep(docs, quality.score_texts(_keyed(docs), model), f"score >= {QUALITY}")
+    """Rows whose quality score is at least QUALITY; null and empty texts score as the calibration's bias does."""
+    return _scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")), f">= {QUALITY}")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return _keep(docs, toxicity.score_texts(_keyed(docs), model), f"score < {TOXIC}")
+    """Rows whose toxicity score is below TOXIC; null and empty texts score as texts without n-grams."""
+    return _scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), f"< {TOXIC}")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates (five-word shingles, Jaccard 0.8 or more) one row stays.
 
     It is the one with the smallest doc_id, null ids last, then with the
-    smallest key. Rows outside any class all stay, whatever their ids.
+    smallest key. Null and wordless texts are one class. Rows outside any class
+    all stay, whatever their ids.
     """
-    keyed = _keyed(docs)
-    found = stored(jaccard.classes(keyed)).join(keyed.select("doc_id", "_id").distinct(), "doc_id")
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id")).alias("first"))
+    keyed, held = _keyed(docs)
+    found = stored(simhash.similar(keyed)).join(keyed.select("doc_id", F.col(held).alias("id")).distinct(), "doc_id")
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first"))
     # rows with one key are exact copies, of which one stays
-    kept = keyed.join(first.select(F.col("first.doc_id").alias("_key")), F.col("doc_id") == F.col("_key"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.withColumn("doc_id", F.col("_id")).drop("_id")
+    kept = keyed.join(first.select(F.col("first.doc_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.withColumn("doc_id", F.col(held)).drop(held)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, decontaminate.contamination(_keyed(docs), read(spark, sf_dir, "benchmark")), "not contaminated")
+    """Rows without a benchmark passage; null and wordless texts have none."""
+    keyed, held = _keyed(docs)
+    hit = decontaminate.contamination(keyed, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return keyed.join(hit, "doc_id", "left_anti").withColumn("doc_id", F.col(held)).drop(held)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs).where("selected").drop("selected")
+    """Rows that the calibrated sample selects; null and wordless texts are never selected."""
+    mix = fresh("mix", docs.columns)
+    return mixing.mixed(docs).where(f"`{mix}`.selected").drop(mix)
 
 
 STAGES = [
@@ -70,11 +76,12 @@ STAGES = [
     ("mixing sources to target weights", mixing_stage),
 ]
 
-#: The classifiers and the fingerprints aren't expressible in SQL.
+#: The classifiers aren't expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of documents that all stages keep, with the columns they had; each stage's rows are written and read again."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
