@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.traversal import label_components
-from .common import binaries, map_batches, read, space_words, stored, texts_of
+from .common import binaries, dropped, map_batches, read, space_words, stored, texts_of
 
 #: Members of a group that one task compares with each other, at most, and bytes of them.
 CHUNK, CHUNK_BYTES = 2048, 16 << 20
@@ -36,8 +36,10 @@ RADIUS = 8
 #: differing bits have a mean of 39 and a deviation of 5.7 (48 and 6.2 at worst: four shingles of five), and
 #: of unrelated texts 128 and 8: a link is passed over with a probability of 2e-7 at worst.
 LANES, OPEN = 4, 80
-#: Texts sampled for the order of shingles; those in COMMON of them come last. Any order is complete.
-SAMPLE, COMMON = 8192, 8
+#: Texts sampled for the order of shingles; the most frequent ORDERED of those in COMMON texts come last. Any order is complete.
+SAMPLE, COMMON, ORDERED = 32768, 4, 1 << 20
+#: Ids of texts, at most, that are broadcast to read these texts again; more are joined by shuffling.
+BROADCAST = 1 << 20
 PIECE = 1 << 18  # bytes of text whose words are held at once
 
 
@@ -268,11 +270,12 @@ def _similar_roots(bags: list[np.ndarray], least: Fraction) -> np.ndarray:
     return root
 
 
-def closure(rows: DataFrame, compare: Compare) -> DataFrame:
+def closure(rows: DataFrame, compare: Compare, sizes: DataFrame | None = None) -> DataFrame:
     """Star edges (a, b) of ids that connect all that ``compare`` links within a group.
 
     rows: group (any columns but id and payload), id long, payload binary, each
-    (group, id) once. Pairs are never emitted; what two linked members have in
+    (group, id) once; sizes: _many and _bytes of each group, if they are known
+    without the payloads. Pairs are never emitted; what two linked members have in
     common is an edge of a star.
 
     Groups above CHUNK members or CHUNK_BYTES are dealt out in chunks, and some
@@ -281,7 +284,9 @@ def closure(rows: DataFrame, compare: Compare) -> DataFrame:
     as its size, and no pair of different classes is left out.
     """
     by = [c for c in rows.columns if c not in ("id", "payload")]
-    size = rows.groupBy(*by).agg(F.count("*").alias("_many"), F.sum(F.length("payload")).alias("_bytes")).where("_many > 1")
+    if sizes is None:
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("_many"), F.sum(F.length("payload")).alias("_bytes"))
+    size = sizes.where("_many > 1")
     parts = F.ceil(F.greatest(F.col("_many") / CHUNK, F.col("_bytes") / CHUNK_BYTES)).cast("int")
     size = stored(size.select(*by, parts.alias("_parts")))
     rows = rows.join(size, by)
@@ -375,53 +380,55 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return marks.join(classes, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, id, bag) for every row of docs: the XXH64 of the set's sorted 64-bit hashes, and these."""
-
-    def run(batch: pa.RecordBatch) -> dict[str, object]:
-        bags = [np.unique(shingle_hashes(t or b"", shingle)).tobytes() for t in binaries(batch, "text")]
-        ids = np.array([xxhash.xxh64_intdigest(b) for b in bags], np.uint64).view(np.int64)
-        return {"doc_id": batch.column("doc_id"), "id": ids, "bag": pa.array(bags, pa.binary())}
-
-    return map_batches(texts_of(docs), run, "doc_id long, id long, bag binary")
+def _bag(text: bytes | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text or b"", shingle))
 
 
-def _bags(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint64) for b in batch.column("bag").to_pylist()]
+def _ids(bags: list[np.ndarray]) -> np.ndarray:
+    """The XXH64 of each set's sorted hashes, as longs."""
+    return np.array([xxhash.xxh64_intdigest(b.tobytes()) for b in bags], np.uint64).view(np.int64)
 
 
-def common_shingles(marks: DataFrame) -> np.ndarray:
-    """Sorted hashes in COMMON or more of about SAMPLE texts, chosen by hash; at most as many as these have."""
-    n = max(1, marks.count() // SAMPLE)
-    some = marks.where(F.pmod(F.xxhash64("id"), F.lit(n)) == 0).groupBy("id").agg(F.first("bag").alias("bag"))
+def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles in COMMON or more of about SAMPLE distinct texts, chosen by hash; the most frequent ORDERED of them."""
+    n = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod("mark", F.lit(n)) == 0).groupBy("mark").agg(F.first("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"h": np.concatenate([np.zeros(0, np.uint64), *_bags(batch)]).view(np.int64)}
+        return {"h": np.concatenate([np.zeros(0, np.uint64), *[_bag(t, shingle) for t in binaries(batch, "text")]]).view(np.int64)}
 
-    often = map_batches(some.select("bag"), run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    return np.sort(np.array([r[0] for r in often.select("h").collect()], np.int64).view(np.uint64))
+    often = map_batches(some.select("text"), run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    return np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "h").limit(ORDERED).select("h").collect()], np.int64).view(np.uint64))
 
 
-def prefixes(marks: DataFrame, common: np.ndarray, least: Fraction) -> DataFrame:
-    """(key, id): the first shingles of each set, rare ones before common ones, then by hash.
+def prefix(bag: np.ndarray, common: np.ndarray, least: Fraction) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones, then by hash.
 
-    Of two sets of the similarity s, n and m in number, the first n - ceil(s n) + 1
+    Of two sets of similarity s, n and m in number, the first n - ceil(s n) + 1
     shingles of one and m - ceil(s m) + 1 of the other have one in common, in
     whatever order.
     """
+    size = len(bag) - -(-len(bag) * least.numerator // least.denominator) + 1
+    if len(common) and len(bag):
+        late = common[np.minimum(np.searchsorted(common, bag), len(common) - 1)] == bag
+        bag = np.concatenate([bag[~late], bag[late]])
+    return bag[:size]
+
+
+def marked(texts: DataFrame, shingle: int, common: np.ndarray, least: Fraction) -> DataFrame:
+    """doc_id, mark, id (of the set of shingles), fp (LANES * 8 bytes) and keys (the prefix) of every row."""
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        keys = []
-        for bag in _bags(batch):
-            size = len(bag) - -(-len(bag) * least.numerator // least.denominator) + 1
-            if len(common) and len(bag):
-                late = common[np.minimum(np.searchsorted(common, bag), len(common) - 1)] == bag
-                bag = np.concatenate([bag[~late], bag[late]])
-            keys.append(bag[:size])
-        times = np.array([len(k) for k in keys], np.int64)
-        return {"key": np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64), "id": np.repeat(batch.column("id").to_numpy(), times)}
+        bags = [_bag(t, shingle) for t in binaries(batch, "text")]
+        keys = [prefix(b, common, least) for b in bags]
+        ends = np.cumsum([0, *map(len, keys)])
+        return {
+            "doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "id": _ids(bags),
+            "fp": pa.array([fingerprint(b, LANES) for b in bags], pa.binary()),
+            "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))),
+        }
 
-    return map_batches(marks.select("id", "bag"), run, "key long, id long").distinct()
+    return map_batches(texts, run, "doc_id long, mark long, id long, fp binary, keys array<long>")
 
 
 def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -434,24 +441,32 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     a null doc_id is returned like any other. Other columns are ignored.
 
     Equal sets meet once. Sets that share a shingle of their prefixes are compared
-    by fingerprints, bit-sliced; those within OPEN bits form loose classes, and
-    within a loose class all links are verified in full.
+    by fingerprints, bit-sliced; those within OPEN bits form loose classes. Only
+    texts of loose classes are read again, and within one all links are verified
+    in full.
     """
     limit = Fraction(least).limit_denominator(1000)
-    marks = stored(shingle_sets(docs, shingle).withColumn("row", F.monotonically_increasing_id()))
-    keys = stored(prefixes(marks, common_shingles(marks), limit))
-    shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    keys = stored(keys.join(shared, "key"))
-    # one row stands for all of its set
-    rows = marks.select("id", "row").join(keys.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
+    texts = texts_of(docs).withColumn("mark", F.xxhash64("text"))
+    marks = stored(marked(texts, shingle, common_shingles(texts, shingle), limit))
+    keys = marks.select("id", F.explode("keys").alias("key"))
+    # a key that two sets share has two ids
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    keys = stored(keys.join(shared, "key").distinct())
+    sizes = keys.groupBy("key").agg(F.count("*").alias("_many"), (F.count("*") * 8 * LANES).alias("_bytes"))
+    fps = marks.groupBy("id").agg(F.first("fp").alias("payload"))
+    loose = closure(keys.join(fps, "id").select("key", "id", "payload"), by_bits(8 * LANES, OPEN), sizes)
+    loose = stored(label_components(loose, "a", "b").toDF("id", "loose"))
+    dropped(keys)
+    # one text stands for all of its set
+    needed = stored(marks.select("id", "mark").join(loose, "id").groupBy("id", "loose").agg(F.min("mark").alias("mark")))
+    held = F.broadcast if needed.count() <= BROADCAST else lambda x: x
+    read_again = texts.join(held(needed), "mark").select("id", "loose", "text")
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"id": batch.column("id"), "bag": batch.column("bag"), "fp": pa.array([fingerprint(b, LANES) for b in _bags(batch)], pa.binary())}
+        return {"loose": batch.column("loose"), "id": batch.column("id"), "payload": pa.array([_bag(t, shingle).tobytes() for t in binaries(batch, "text")], pa.binary())}
 
-    sets = stored(map_batches(marks.join(rows.select("row"), "row").select("id", "bag"), run, "id long, bag binary, fp binary"))
-    loose = closure(keys.join(sets.select("id", F.col("fp").alias("payload")), "id").select("key", "id", "payload"), by_bits(8 * LANES, OPEN))
-    loose = label_components(loose, "a", "b").toDF("id", "loose")
-    links = closure(sets.join(loose, "id").select("loose", "id", F.col("bag").alias("payload")), by_shingles(limit))
+    sets = map_batches(read_again, run, "loose long, id long, payload binary").groupBy("loose", "id").agg(F.first("payload").alias("payload"))
+    links = closure(stored(sets), by_shingles(limit))
     roots = label_components(links, "a", "b").toDF("id", "root")
     return marks.select("doc_id", "id").join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
 
