@@ -63,12 +63,12 @@ def test_co_occurrence_counts_pairs(spark):
 
 def test_ring_members_evidence_and_report(spark):
     g = ring(spark)
-    m = {r["node_id"] for r in evidence.members(g).where("ring_type = 'circular_trade'").collect()}
+    m = {r["node_id"] for r in evidence.members(g).where("ring_type = 'circular'").collect()}
     assert m == {"IMP:A", "EXP:B", "IMP:C", "EXP:A"}
-    assert evidence.members(g).where("ring_type = 'shared_attributes'").isEmpty()  # one shared address makes no ring
-    amounts = [r["amount"] for r in evidence.evidence(g).where("ring_type = 'circular_trade'").collect()]
+    assert evidence.members(g).where("ring_type = 'shared_attribute'").isEmpty()  # one shared address makes no ring
+    amounts = [r["amount"] for r in evidence.evidence(g).where("ring_type = 'circular'").collect()]
     assert sorted(amounts) == [180000.0, 185000.0, 190000.0, 200000.0]
-    r = evidence.report(g).where("ring_type = 'circular_trade'").first()
+    r = evidence.report(g).where("ring_type = 'circular'").first()
     assert (r["ring_id"], r["size"], r["total_value"], round(r["confidence"], 6)) == ("RING-CIRC-0001", 4, 755000.0, 0.9)
     assert evidence.report(TradeGraph(g.nodes, g.edges.limit(0))).count() == 0
 

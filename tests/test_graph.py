@@ -132,5 +132,5 @@ def test_questions(spark):
     assert q.shortest_path("IMP:A", "EXP:A").first()["length"] == 3
     assert q.propagate_risk("unknown").count() == 0
     assert q.neighbors("IMP:D", max_depth=2).count() == 3
-    assert q.fraud_rings().first()["ring_type"] == "circular_trade"
+    assert q.fraud_rings().first()["ring_type"] == "circular"
     assert q.communities("label_propagation", min_size=1).count() >= 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -56,21 +57,17 @@ class TradeGraph:
     # Updates return new graphs
 
     def upsert_nodes(self, rows: DataFrame) -> TradeGraph:
-        """Given attributes overwrite those of nodes with the same id; new ids are added."""
-        new = rows.alias("n")
-        old = self.nodes.alias("o")
-        given = [c for c in rows.columns if c != "node_id"]
-        columns = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in given else F.col(f"o.{c}") for c in self.nodes.columns if c != "node_id"]
-        both = old.join(new, F.col("o.node_id") == F.col("n.node_id"), "full_outer")
-        return TradeGraph(both.select(F.coalesce("o.node_id", "n.node_id").alias("node_id"), *columns), self.edges)
+        """Given attributes overwrite those of nodes with the same id; new ids and new attributes are added.
+
+        Nulls overwrite nothing. Of rows that repeat an id the greatest value of each attribute counts.
+        """
+        return TradeGraph(_upserted(self.nodes, rows, ["node_id"]), self.edges)
 
     def upsert_edges(self, rows: DataFrame) -> TradeGraph:
-        """By (src, dst, edge_type); endpoints that are unknown become bare nodes."""
-        keys = ["src", "dst", "edge_type"]
-        kept = self.edges.join(rows.select(keys), keys, "left_anti")
+        """The same for edges, by (src, dst, edge_type); endpoints that are unknown become bare nodes."""
         ends = rows.select(F.col("src").alias("node_id")).union(rows.select("dst")).distinct()
         bare = ends.join(self.nodes.select("node_id"), "node_id", "left_anti")
-        return TradeGraph(self.nodes.unionByName(bare, allowMissingColumns=True), kept.unionByName(rows, allowMissingColumns=True))
+        return TradeGraph(self.nodes.unionByName(bare, allowMissingColumns=True), _upserted(self.edges, rows, ["src", "dst", "edge_type"]))
 
     def cleared(self) -> TradeGraph:
         return TradeGraph(self.nodes.limit(0), self.edges.limit(0))
@@ -118,6 +115,28 @@ class TradeGraph:
         density = F.when((F.col("nodes") > 1) & (F.col("edges") > 0), F.col("edges") / pairs).otherwise(0.0)
         return n.crossJoin(e).crossJoin(c).select("nodes", "edges", density.alias("density"), "components", (F.col("components") == 1).alias("connected"))
 
+    def statistics(self) -> dict[str, object]:
+        """Totals, and the number of nodes and edges of each type: as many entries as there are types."""
+        nodes, edges = self.type_counts()
+        found = self.totals().first().asDict()
+        return found | {"node_types": {r["node_type"]: r["count"] for r in nodes.collect()}, "edge_types": {r["edge_type"]: r["count"] for r in edges.collect()}}
+
+    def save_statistics(self, path: str) -> None:
+        """The statistics as a JSON file."""
+        spark = self.nodes.sparkSession
+        spark.createDataFrame([(json.dumps(self.statistics(), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    def records(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges as JSON records without null attributes, a row each."""
+        one = lambda df: df.select(F.to_json(F.struct(*df.columns)).alias("record"))
+        return one(self.nodes), one(self.edges)
+
+    @classmethod
+    def from_records(cls, nodes: DataFrame, edges: DataFrame) -> TradeGraph:
+        """The graph of such records; attributes outside NODES and EDGES are left out."""
+        one = lambda df, schema: df.select(F.from_json("record", schema).alias("r")).select("r.*")
+        return cls(one(nodes, NODES), one(edges, EDGES))
+
     def violations(self) -> DataFrame:
         """Edges whose endpoint types the ontology doesn't allow."""
         t = self.nodes.select("node_id", "node_type")
@@ -144,6 +163,17 @@ class TradeGraph:
         return cls(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
 
 
+def _upserted(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    given = [c for c in rows.columns if c not in keys]
+    new = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in given]) if given else rows.select(*keys).distinct()
+    n, o = new.alias("n"), old.alias("o")
+    kinds = dict(old.dtypes)
+    columns = [F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in keys]
+    columns += [F.coalesce(F.col(f"n.{c}").cast(kinds[c]), F.col(f"o.{c}")).alias(c) if c in given else F.col(f"o.{c}") for c in old.columns if c not in keys]
+    columns += [F.col(f"n.{c}") for c in given if c not in old.columns]
+    return o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full_outer").select(columns)
+
+
 def flattened(df: DataFrame) -> DataFrame:
     """Struct columns as columns named key_sub, for flat sinks; arrays stay."""
     columns = []

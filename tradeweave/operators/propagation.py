@@ -70,3 +70,14 @@ def summary(graph: TradeGraph, threshold: float = 0.1) -> DataFrame:
         F.count("*").alias("total_nodes"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.max(r).alias("max"), F.stddev_pop(r).alias("std"),
         F.count_if(F.coalesce("flagged", F.lit(False))).alias("flagged"), F.count_if(r >= threshold).alias("at_risk"), *levels,
     )
+
+
+def totals(affected: DataFrame) -> DataFrame:
+    """source_node, affected (nodes), max_depth, total_risk of a propagation."""
+    return affected.groupBy("source_node").agg(F.count("*").alias("affected"), F.max("depth").alias("max_depth"), F.sum("risk").alias("total_risk"))
+
+
+def riskiest(graph: TradeGraph, k: int = 10) -> DataFrame:
+    """node_id, node_type, risk_score, risk_level of the k nodes at the highest risk above 0."""
+    n = graph.nodes.where("risk_score > 0").select("node_id", "node_type", "risk_score", "risk_level")
+    return n.orderBy(F.desc("risk_score"), "node_id").limit(k)

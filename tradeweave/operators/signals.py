@@ -12,13 +12,13 @@ def ladder(score: Column, high: float = 0.6) -> Column:
     return F.when(score >= 0.8, "CRITICAL").when(score >= high, "HIGH").when(score >= 0.3, "MEDIUM").otherwise("LOW")
 
 
-def _signals(rows: DataFrame, kind: str, severity: Column, confidence: Column, ids: Column, payload: Column, as_of: str | None, source: str) -> DataFrame:
+def _signals(rows: DataFrame, kind: str, severity: Column, confidence: Column, ids: Column, payload: Column, as_of: str | None, source: str, metadata: Column | None = None) -> DataFrame:
     """Ids come from the contents, so a retry makes the same records."""
     body = F.to_json(payload)
     sid = F.concat(F.lit("SIG-"), F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(kind), F.array_join(ids, ","), body), 256), 1, 12)))
     return rows.select(
         sid.alias("signal_id"), F.lit(kind).alias("signal_type"), F.lit(source).alias("source_system"), F.lit(as_of).cast("string").alias("timestamp"),
-        severity.alias("severity"), F.least(confidence, F.lit(1.0)).alias("confidence"), ids.alias("entity_ids"), body.alias("payload"),
+        severity.alias("severity"), F.least(confidence, F.lit(1.0)).alias("confidence"), ids.alias("entity_ids"), body.alias("payload"), F.coalesce(F.to_json(metadata) if metadata is not None else F.lit("{}"), F.lit("{}")).alias("metadata"),
     )
 
 
@@ -37,7 +37,7 @@ def ring_signals(rings: DataFrame, as_of: str | None = None, source: str = "trad
     """rings: ring_type, ring_key, size, confidence."""
     c = F.col("confidence")
     severity = F.when(c >= 0.8, "CRITICAL").when(c >= 0.5, "HIGH").otherwise("MEDIUM")
-    return _signals(rings, "fraud_ring", severity, c, F.split("ring_key", ">"), F.struct("ring_type", "size"), as_of, source)
+    return _signals(rings, "fraud_ring_alert", severity, c, F.split("ring_key", ">"), F.struct("ring_type", "size"), as_of, source)
 
 
 def change_signals(changes: DataFrame, as_of: str | None = None, source: str = "tradeweave") -> DataFrame:
@@ -58,12 +58,15 @@ def flush(signals: DataFrame, path: str, batch_size: int = 100) -> None:
 
 
 def high_risk(graph: TradeGraph, min_risk: float = 0.5, limit: int | None = 50, node_type: str | None = None) -> DataFrame:
-    """node_id, node_type, risk_score, risk_level, indicators, neighbor_count; the riskiest first."""
+    """node_id, node_type, risk_score, risk_level, flagged, indicators, neighbor_count; the riskiest first.
+
+    neighbor_count is the degree: parallel edges count. Only edges of the nodes at risk are counted.
+    """
     n = graph.nodes.where(F.coalesce("risk_score", F.lit(0.0)) >= min_risk)
     if node_type:
         n = n.where(F.col("node_type") == node_type)
-    c = graph.adjacency().groupBy("node_id").agg(F.count("*").alias("neighbor_count"))
-    n = n.join(graph.degrees().select("node_id", "degree"), "node_id").join(c, "node_id", "left").fillna(0, ["neighbor_count"])
-    flags = F.array_compact(F.array(F.when(F.col("flagged"), "directly_flagged"), F.when(F.col("risk_score") >= 0.8, "critical_risk"), F.when(F.col("degree") > 20, "high_connectivity")))
-    out = n.select("node_id", "node_type", "risk_score", "risk_level", flags.alias("indicators"), "neighbor_count")
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("node_id")).join(n.select("node_id"), "node_id", "left_semi")
+    n = n.join(ends.groupBy("node_id").agg(F.count("*").alias("neighbor_count")), "node_id", "left").fillna(0, ["neighbor_count"])
+    flags = F.array_compact(F.array(F.when(F.col("flagged"), "directly_flagged"), F.when(F.col("risk_score") >= 0.8, "critical_risk"), F.when(F.col("neighbor_count") > 20, "high_connectivity")))
+    out = n.select("node_id", "node_type", "risk_score", "risk_level", F.coalesce("flagged", F.lit(False)).alias("flagged"), flags.alias("indicators"), "neighbor_count")
     return out if limit is None else out.orderBy(F.desc("risk_score"), "node_id").limit(limit)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import TradeGraph
 from .traversal import label_components
 
 
@@ -32,6 +33,12 @@ def snapshot_nodes(edges: DataFrame) -> DataFrame:
     return edges.select("window_id", F.col("src").alias("node_id")).union(edges.select("window_id", "dst")).distinct()
 
 
+def snapshot_node_types(graph: TradeGraph, edges: DataFrame) -> DataFrame:
+    """window_id, node_type, count of the nodes in each window. edges: those of ``snapshot_edges``."""
+    types = graph.nodes.select("node_id", "node_type")
+    return snapshot_nodes(edges).join(types, "node_id").groupBy("window_id", "node_type").agg(F.count("*").alias("count"))
+
+
 def snapshots(edges: DataFrame, spans: DataFrame, with_components: bool = True) -> DataFrame:
     """window_id, window_start, window_end, node_count, edge_count, density, components."""
     e = edges.groupBy("window_id").agg(F.count("*").alias("edge_count"))

@@ -134,6 +134,8 @@ def queries() -> dict:
         "t04_neighbors_both": on(lambda g: g.neighbors("EXP:1", direction="both").select("node_id", "node_type")),
         "t05_edges": on(lambda g: g.edges_where(src="IMP:1", edge_type="IMPORTS_FROM").select("src", "dst", "transaction_count")),
         "t07_by_type": on(lambda g: g.nodes_by_type("ROUTE").select("node_id", "origin", "destination")),
+        "t01_upsert_nodes": on(lambda g: _upserted_nodes(g).select("node_id", "node_type", F.coalesce("name", F.lit("")).alias("name"), "note")),
+        "t02_upsert_edges": on(lambda g: _upserted_edges(g).select("src", "dst", "edge_type", _r("weight"), "transaction_count", "first_seen")),
         "t08_subgraph": on(lambda g: g.subgraph(g.nodes.where("node_type IN ('IMPORTER', 'AGENT')")).edges.select("src", "dst", "edge_type")),
         "g01_khop": on(lambda g: G.khop(g, "IMP:1", 2)),
         "g02_path": on(lambda g: G.shortest_path(g, "IMP:1", "COMM:" + _commodity(g)).select(F.array_join("path", "|").alias("path"), F.col("length").cast("bigint").alias("length"))),
@@ -159,10 +161,14 @@ def queries() -> dict:
         "m08_anomalies": on(lambda g: M.anomalies(g, by_country(g)).select("community_id", "size", joined("anomaly_indicators"), "shared_addresses")),
         "m09_shared": on(lambda g: M.shared_addresses(g, by_country(g))),
         "p01_propagate": on(lambda g: P.propagate(g, g.node("IMP:1").select("node_id", F.lit(0.9).alias("risk"))).select("node_id", _r("risk"), "depth", joined("path"))),
+        "p02_propagate_many": on(lambda g: _spread(g).groupBy("node_id").agg(F.max("risk").alias("risk")).select("node_id", _r("risk"))),
+        "p03_applied": on(lambda g: P.applied(g, _spread(g), _sources(g)).nodes.where("risk_score > 0").select("node_id", _r("risk_score"), "risk_level", "flagged")),
+        "p08_totals": on(lambda g: P.totals(_spread(g)).select("source_node", "affected", "max_depth", _r("total_risk"))),
         "p06_summary": on(lambda g: P.summary(_risky(g)).select("total_nodes", *[_r(c) for c in ("mean", "median", "max", "std")], "flagged", "at_risk", "low", "medium", "high", "critical")),
         # the SQL of w01, w02 and w05 has the windows of 2001; those named _all span all dates
         "w01_snapshots": snap(snapshots),
         "w01_snapshots_all": snap(snapshots, whole=True),
+        "w01_node_types": on(lambda g: W.snapshot_node_types(g, W.snapshot_edges(g.edges, _spans(g.edges.sparkSession)))),
         "w02_windows": lambda s, d: _spans(s),
         "w02_windows_all": on(_all_spans),
         "w03_changes": snap(lambda s, e: W.changes(e, stored(W.snapshots(e, s))).select("window_id", "change_type", _r("severity"), _r("previous"), _r("current"), "count"), whole=True),
@@ -183,11 +189,36 @@ def queries() -> dict:
         "h03_flagged": on(lambda g: H.flagged_connections(_risky(g))),
         "h04_commodities": on(lambda g: H.commodities(g)),
         "h06_shells": on(lambda g: H.score(_risky(g), H.combined_centrality(g), AS_OF, min_confidence=0.3).select("node_id", _r("confidence"), joined("indicators"))),
+        "h06_shells_by_degree": on(lambda g: H.score(_risky(g), C.degree(g), AS_OF, min_confidence=0.3).select("node_id", _r("confidence"), _r("centrality_volume_ratio", 4), "connection_count", "flagged_connection_count", joined("indicators"))),
+        "h07_score_one": on(lambda g: H.score(_risky(g), C.degree(g), AS_OF, min_confidence=0.0, node_id="IMP:7").select("node_id", _r("confidence"), _r("centrality_volume_ratio", 4), "connection_count", "flagged_connection_count", joined("indicators"))),
+        "e02_community_signals": on(lambda g: E.community_signals(M.anomalies(g, by_country(g))).select("signal_type", "severity", _r("confidence"), joined("entity_ids"))),
+        "e03_ring_signals": on(lambda g: E.ring_signals(R.detect(g, max_cv=0.3)).select("signal_type", "severity", _r("confidence"), joined("entity_ids"))),
+        "e05_propagation_signals": on(lambda g: E.propagation_signals(_spread(g), 0.2).select("signal_type", "severity", _r("confidence"), joined("entity_ids"))),
         "e01_entity_signals": on(lambda g: E.entity_signals(_risky(g), 0.5).select("signal_type", "severity", _r("confidence"), joined("entity_ids"))),
-        "q05_high_risk": on(lambda g: E.high_risk(_risky(g), 0.5, limit=None).select("node_id", _r("risk_score"), "risk_level", joined("indicators"), "neighbor_count")),
+        "q05_high_risk": on(lambda g: E.high_risk(_risky(g), 0.5, limit=None).select("node_id", _r("risk_score"), "risk_level", "flagged", joined("indicators"), "neighbor_count")),
     }
 
 
+def _upserted_nodes(g: TradeGraph) -> DataFrame:
+    """Agents are renamed, all given rows get a note, and one node is new."""
+    rows = g.nodes.where("node_type = 'AGENT'").select("node_id", F.lit("renamed").alias("name"), F.lit("seen").alias("note"))
+    return g.upsert_nodes(rows.unionByName(g.nodes.sparkSession.createDataFrame([("IMP:new", "new", "seen")], rows.schema))).nodes
+
+
+def _upserted_edges(g: TradeGraph) -> DataFrame:
+    """Edges to agents get a weight, their other attributes stay; one edge is new."""
+    rows = g.edges.where("edge_type = 'REPRESENTED_BY'").select("src", "dst", "edge_type", F.lit(2.0).alias("weight"))
+    return g.upsert_edges(rows.unionByName(g.nodes.sparkSession.createDataFrame([("IMP:1", "COMM:new", "TRADES_COMMODITY", 3.0)], rows.schema))).edges
+
+
+def _sources(g: TradeGraph) -> DataFrame:
+    return g.nodes.where(F.col("node_id").isin("IMP:1", "IMP:2", "IMP:3")).select("node_id", F.lit(0.9).alias("risk"))
+
+
+def _spread(g: TradeGraph) -> DataFrame:
+    return P.propagate(g, _sources(g))
+
+
 def _parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = lambda tag, c, name: F.concat(F.lit(f"{tag}:"), c).alias(name)
     return D.flat(spark, sf_dir).select(tagged("IMP", "imp", "imp"), tagged("EXP", "exp", "exp"), tagged("AGENT", "license_id", "agt"), "value", "date")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Propagation
 from ..operators import community, propagation, rings, signals, traversal
@@ -31,11 +32,17 @@ class Questions:
     def communities(self, algorithm: str = "louvain", resolution: float = 1.0, min_size: int = 3) -> DataFrame:
         return community.metrics(self.graph, community.detect(self.graph, algorithm, resolution), min_size).orderBy(F.desc("size"), "community_id")
 
+    def community_members(self, partition: DataFrame, most: int = 100) -> DataFrame:
+        """community_id, node_id, node_type: at most so many members of each, the smallest ids first. partition: node_id, community_id."""
+        first = Window.partitionBy("community_id").orderBy("node_id")
+        p = partition.select("node_id", "community_id").withColumn("at", F.row_number().over(first)).where(F.col("at") <= most).drop("at")
+        return p.join(self.graph.nodes.select("node_id", "node_type"), "node_id").select("community_id", "node_id", "node_type")
+
     def high_risk_entities(self, min_risk: float = 0.5, limit: int | None = 50, node_type: str | None = None) -> DataFrame:
         return signals.high_risk(self.graph, min_risk, limit, node_type)
 
-    def statistics(self) -> DataFrame:
-        return self.graph.totals()
+    def statistics(self) -> dict[str, object]:
+        return self.graph.statistics()
 
     def fraud_rings(self, min_confidence: float = 0.5) -> DataFrame:
         return rings.detect(self.graph, min_confidence=min_confidence).orderBy(F.desc("confidence"), "ring_type", "ring_key")

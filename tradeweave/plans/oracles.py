@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..config import Propagation
 from ..functions.normalize import ABBREVIATIONS
 from ..sources.declarations import FLAT_SQL
 
@@ -87,6 +88,91 @@ def _pagerank(rounds: int) -> str:
     return ", ".join(cte) + f" SELECT node_id, round(s, 9) AS score FROM x{rounds}"
 
 
+def _min_labels(of: str, pairs: str, rounds: int) -> str:
+    """Smallest label reachable in so many hops; more than the longest distance of these tables."""
+    cte = [f"lp AS MATERIALIZED ({pairs})", f"l0 AS MATERIALIZED ({of})"]
+    for r in range(rounds):
+        cte.append(f"l{r + 1} AS MATERIALIZED (SELECT l.node_id, least(l.c, coalesce(m, l.c)) AS c FROM l{r} l LEFT JOIN (SELECT lp.node_id, min(x.c) AS m FROM lp JOIN l{r} x ON x.node_id = lp.other GROUP BY lp.node_id) USING (node_id))")
+    return ", ".join([*cte, f"label AS (SELECT node_id, c AS component FROM l{rounds})"])
+
+
+_COMPONENTS = _min_labels("SELECT node_id, node_id AS c FROM nodes", "SELECT node_id, other FROM near", 12)
+
+_RINGS = (
+    "ent AS (SELECT node_id FROM nodes WHERE node_type IN ('IMPORTER', 'EXPORTER', 'AGENT')), "
+    "cl AS (SELECT dst, count(DISTINCT src) AS n FROM edges WHERE src IN (SELECT node_id FROM ent) AND dst IN (SELECT node_id FROM nodes WHERE node_type IN ('ADDRESS', 'PHONE', 'BANK_ACCOUNT')) GROUP BY dst HAVING count(DISTINCT src) >= 2), "
+    "lk AS (SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT node_id FROM ent) AND dst IN (SELECT dst FROM cl)), "
+    + _min_labels("SELECT DISTINCT unnest([src, dst]) AS node_id, node_id AS c FROM lk", "SELECT src AS node_id, dst AS other FROM lk UNION ALL SELECT dst, src FROM lk", 30)
+    + ", gr AS (SELECT component, count(*) AS clusters, count(DISTINCT node_type) AS types, max(n) AS largest FROM cl JOIN label ON label.node_id = cl.dst JOIN nodes ON nodes.node_id = cl.dst GROUP BY component HAVING count(*) >= 2), "
+    "grp AS (SELECT component, clusters, types, largest, least(least(0.2 * clusters, 0.6) + CASE WHEN types >= 2 THEN 0.2 ELSE 0 END + CASE WHEN largest >= 5 THEN 0.2 WHEN largest >= 3 THEN 0.1 ELSE 0 END, 1) AS confidence FROM gr), "
+    "mem AS (SELECT component, count(*) AS entities FROM label WHERE node_id IN (SELECT src FROM lk) GROUP BY component), "
+    "sd AS (SELECT date, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM nodes WHERE node_type = 'DECLARATION' GROUP BY date), si AS (SELECT n.date, count(DISTINCT src) AS i FROM nodes n JOIN edges e ON e.dst = n.node_id AND edge_type = 'DECLARES' WHERE node_type = 'DECLARATION' GROUP BY n.date), "
+    "rings AS (SELECT 'shared_attribute' AS ring_type, component AS ring_key, entities AS size, confidence FROM grp JOIN mem USING (component) WHERE confidence >= 0.5 "
+    "UNION ALL SELECT 'behavioral', date, n + i, 0.6 + 0.1 * least(n - 3, 4) FROM sd JOIN si USING (date) WHERE n >= 3 AND i >= 3 AND std / mean < 0.3)"
+)
+
+
+def _labels(rounds: int) -> str:
+    cte = ["a AS MATERIALIZED (SELECT node_id, other FROM near WHERE node_id <> other)", "v0 AS MATERIALIZED (SELECT node_id, node_id AS label FROM nodes)"]
+    for r in range(rounds):
+        cte.append(f"v{r + 1} AS MATERIALIZED (SELECT node_id, label FROM (SELECT a.node_id, label FROM a JOIN v{r} ON v{r}.node_id = a.other UNION ALL SELECT node_id, label FROM v{r}) GROUP BY node_id, label QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY count(*) DESC, label) = 1)")
+    return ", ".join(cte) + f" SELECT node_id, label AS community FROM v{rounds}"
+
+
+def _hits(rounds: int) -> str:
+    cte = ["sm AS MATERIALIZED (SELECT * FROM simple)", "h0 AS MATERIALIZED (SELECT node_id, 1.0 / (SELECT count(*) FROM nodes) AS h FROM nodes)"]
+    for r in range(rounds):
+        cte.append(f"p{r} AS MATERIALIZED (SELECT dst AS node_id, sum(h * weight) AS a FROM sm JOIN h{r} ON h{r}.node_id = src GROUP BY dst)")
+        cte.append(f"a{r} AS MATERIALIZED (SELECT node_id, a / (SELECT sum(a) FROM p{r}) AS a FROM p{r})")
+        cte.append(f"q{r} AS MATERIALIZED (SELECT src AS node_id, sum(a * weight) AS h FROM sm JOIN a{r} ON a{r}.node_id = dst GROUP BY src)")
+        cte.append(f"h{r + 1} AS MATERIALIZED (SELECT node_id, h / (SELECT sum(h) FROM q{r}) AS h FROM q{r})")
+    return ", ".join(cte) + f" SELECT node_id, round(CAST(coalesce(h, 0) AS DOUBLE), 9) AS hub, round(CAST(coalesce(a, 0) AS DOUBLE), 9) AS authority FROM nodes LEFT JOIN h{rounds} USING (node_id) LEFT JOIN a{rounds - 1} USING (node_id)"
+
+
+def _propagated(sources: str) -> str:
+    """spread: source_node, node_id, risk, depth, path."""
+    cfg = Propagation()
+    weight = "CASE edge_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cfg.type_weights.items()) + f" ELSE {cfg.other_weight} END"
+    cte = [
+        f"fac AS (SELECT src, dst, edge_type, {cfg.decay} * {weight} * least(coalesce(weight, 1), 1) AS f FROM edges)",
+        "step AS MATERIALIZED (SELECT src AS parent, dst AS child, edge_type, f FROM fac UNION ALL SELECT dst, src, edge_type, f FROM fac)",
+        f"s0 AS MATERIALIZED (SELECT node_id AS source_node, node_id, CAST(0.9 AS DOUBLE) AS risk, 0 AS depth, node_id AS path FROM nodes WHERE node_id IN ({sources}))",
+    ]
+    for d in range(1, cfg.max_depth + 1):
+        cte.append(
+            f"n{d} AS (SELECT source_node, child AS node_id, risk * f AS risk, {d} AS depth, path || '|' || child AS path FROM s{d - 1} s JOIN step ON step.parent = s.node_id "
+            f"WHERE depth = {d - 1} AND risk * f >= {cfg.threshold} AND NOT EXISTS (SELECT 1 FROM s{d - 1} k WHERE k.source_node = s.source_node AND k.node_id = child) "
+            "QUALIFY row_number() OVER (PARTITION BY source_node, child ORDER BY risk * f DESC, parent, edge_type) = 1)"
+        )
+        cte.append(f"s{d} AS MATERIALIZED (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM n{d})")
+    return ", ".join([*cte, f"spread AS (SELECT * FROM s{cfg.max_depth} WHERE depth > 0)"])
+
+
+_MANY = _propagated("'IMP:1', 'IMP:2', 'IMP:3'")
+_LEVEL = "CASE WHEN {r} >= 0.8 THEN 'CRITICAL' WHEN {r} >= 0.6 THEN 'HIGH' WHEN {r} >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END"
+_ANOMALIES = (
+    "z AS (SELECT c, count(*) AS size, count(*) FILTER (WHERE node_type = 'IMPORTER') AS imp FROM part JOIN nodes USING (node_id) GROUP BY c), "
+    "s AS (SELECT c, dst, count(*) AS n FROM edges JOIN part ON node_id = src WHERE dst IN (SELECT node_id FROM nodes WHERE node_type = 'ADDRESS') GROUP BY ALL HAVING count(*) > 1), "
+    "odd AS (SELECT z.c, size, count(*) AS shared FROM z JOIN s ON s.c = z.c WHERE size >= 3 AND imp >= 2 GROUP BY ALL)"
+)
+
+
+def _shells(where: str) -> str:
+    return (
+        "vol AS (SELECT node_id, CAST(sum(CAST(total_value AS DECIMAL(28, 4))) AS DOUBLE) AS v FROM (SELECT src AS node_id, total_value FROM edges UNION ALL SELECT dst, total_value FROM edges) GROUP BY node_id), "
+        "fe AS (SELECT DISTINCT src, dst FROM edges), fl AS (SELECT n.node_id, count(*) AS k FROM (SELECT src AS node_id, dst AS other FROM fe UNION ALL SELECT dst, src FROM fe) n JOIN risk r ON r.node_id = n.other WHERE r.flagged GROUP BY n.node_id), "
+        "com AS (SELECT n_imp AS node_id, count(DISTINCT n_comm) AS k FROM ids GROUP BY n_imp), "
+        "x AS (SELECT node_id, node_type, country, i, o, d, coalesce(v, 0) AS v, coalesce(fl.k, 0) AS fk, coalesce(com.k, 0) AS ck FROM degrees JOIN nodes USING (node_id) LEFT JOIN vol USING (node_id) LEFT JOIN fl USING (node_id) LEFT JOIN com USING (node_id)), "
+        "mx AS (SELECT CAST(max(d) AS DOUBLE) AS md, max(v) AS mv FROM x), "
+        "y AS (SELECT x.*, CASE WHEN v > 0 THEN (d / md) / (v / mv) WHEN d / md > 0.1 THEN CAST('inf' AS DOUBLE) ELSE 0 END AS ratio FROM x, mx WHERE node_type IN ('IMPORTER', 'EXPORTER')), "
+        "w AS (SELECT *, least(1, CASE WHEN ratio > 5 THEN least(ratio / 10, 0.3) ELSE 0 END + CASE WHEN country IN ('AE-FZ', 'SG-FTZ', 'PA-CFZ', 'HK', 'BH-FTZ') THEN 0.2 ELSE 0 END + CASE WHEN fk >= 3 THEN least(fk / 10.0, 0.25) ELSE 0 END "
+        "+ CASE WHEN d > 5 AND ck <= 1 THEN 0.1 ELSE 0 END + CASE WHEN i > 0 AND o > 0 AND abs(i - o) / CAST(greatest(i, o) AS DOUBLE) > 0.9 THEN 0.1 ELSE 0 END) AS confidence, "
+        "concat_ws('|', CASE WHEN ratio > 5 THEN 'high_centrality_low_volume' END, CASE WHEN country IN ('AE-FZ', 'SG-FTZ', 'PA-CFZ', 'HK', 'BH-FTZ') THEN 'free_trade_zone_registration' END, CASE WHEN fk >= 3 THEN 'many_flagged_connections' END, "
+        "CASE WHEN d > 5 AND ck <= 1 THEN 'single_commodity_many_connections' END, CASE WHEN i > 0 AND o > 0 AND abs(i - o) / CAST(greatest(i, o) AS DOUBLE) > 0.9 THEN 'highly_asymmetric_connections' END) AS indicators FROM y) "
+        f"SELECT node_id, round(CAST(confidence AS DOUBLE), 6) AS confidence, round(CASE WHEN ratio = CAST('inf' AS DOUBLE) THEN 999.9 ELSE ratio END, 4) AS centrality_volume_ratio, CAST(d AS BIGINT) AS connection_count, fk AS flagged_connection_count, indicators FROM w WHERE {where}"
+    )
+
+
 def oracles() -> dict[str, str]:
     g = lambda sql: f"WITH {_GRAPH}{'' if sql.lstrip().startswith('SELECT') else ', '} {sql}"
     return {
@@ -131,5 +217,24 @@ def oracles() -> dict[str, str]:
         "h03_flagged": g("e AS (SELECT DISTINCT src, dst FROM edges), n AS (SELECT src AS node_id, dst AS other FROM e UNION ALL SELECT dst, src FROM e) SELECT n.node_id, count(*) AS flagged_connections FROM n JOIN risk r ON r.node_id = n.other WHERE r.flagged GROUP BY n.node_id"),
         "h04_commodities": g("SELECT n_imp AS node_id, count(DISTINCT n_comm) AS commodities FROM ids GROUP BY n_imp"),
         "e01_entity_signals": g("SELECT 'entity_risk' AS signal_type, 'CRITICAL' AS severity, CAST(0.9 AS DOUBLE) AS confidence, node_id AS entity_ids FROM risk WHERE flagged"),
-        "q05_high_risk": g("k AS (SELECT node_id, count(*) AS k FROM near GROUP BY node_id) SELECT node_id, CAST(0.9 AS DOUBLE) AS risk_score, 'CRITICAL' AS risk_level, 'directly_flagged|critical_risk' || CASE WHEN d > 20 THEN '|high_connectivity' ELSE '' END AS indicators, coalesce(k, 0) AS neighbor_count FROM risk JOIN degrees USING (node_id) LEFT JOIN k USING (node_id) WHERE flagged"),
+        "q05_high_risk": g("SELECT node_id, CAST(0.9 AS DOUBLE) AS risk_score, 'CRITICAL' AS risk_level, flagged, 'directly_flagged|critical_risk' || CASE WHEN d > 20 THEN '|high_connectivity' ELSE '' END AS indicators, CAST(d AS BIGINT) AS neighbor_count FROM risk JOIN degrees USING (node_id) WHERE flagged"),
+        "t01_upsert_nodes": g("SELECT node_id, node_type, CASE WHEN node_type = 'AGENT' THEN 'renamed' ELSE name END AS name, CASE WHEN node_type = 'AGENT' THEN 'seen' END AS note FROM nodes UNION ALL SELECT 'IMP:new', NULL, 'new', 'seen'"),
+        "t02_upsert_edges": g("SELECT src, dst, edge_type, round(CAST(CASE WHEN edge_type = 'REPRESENTED_BY' THEN 2 ELSE weight END AS DOUBLE), 6) AS weight, transaction_count, first_seen FROM edges UNION ALL SELECT 'IMP:1', 'COMM:new', 'TRADES_COMMODITY', 3, NULL, NULL"),
+        "g03_components": g(f"{_COMPONENTS} SELECT node_id, component FROM label"),
+        "b14_totals": g(f"{_COMPONENTS}, n AS (SELECT count(*) AS n FROM nodes), e AS (SELECT count(*) AS e FROM edges), k AS (SELECT count(DISTINCT component) AS k FROM label) SELECT n AS nodes, e AS edges, round(e / (CAST(n AS DOUBLE) * (n - 1)), 12) AS density, k AS components, k = 1 AS connected FROM n, e, k"),
+        "c06_hits_3it": g(_hits(3)),
+        "m03_label_propagation_3it": g(_labels(3)),
+        "m08_anomalies": g(f"{_ANOMALIES} SELECT c AS community_id, size, 'shared_address' AS anomaly_indicators, shared AS shared_addresses FROM odd"),
+        "p01_propagate": g(_propagated("'IMP:1'") + " SELECT node_id, round(risk, 6) AS risk, depth, path FROM spread"),
+        "p02_propagate_many": g(f"{_MANY} SELECT node_id, round(max(risk), 6) AS risk FROM spread GROUP BY node_id"),
+        "p03_applied": g(f"{_MANY}, m AS (SELECT node_id, max(risk) AS r FROM spread GROUP BY node_id), f AS (SELECT node_id, CASE WHEN node_id IN ('IMP:1', 'IMP:2', 'IMP:3') THEN 0.9 ELSE r END AS r FROM nodes LEFT JOIN m USING (node_id)) SELECT node_id, round(CAST(r AS DOUBLE), 6) AS risk_score, {_LEVEL.format(r='r')} AS risk_level, node_id IN ('IMP:1', 'IMP:2', 'IMP:3') AS flagged FROM f WHERE r > 0"),
+        "p08_totals": g(f"{_MANY} SELECT source_node, count(*) AS affected, max(depth) AS max_depth, round(sum(risk), 6) AS total_risk FROM spread GROUP BY source_node"),
+        "w01_node_types": g(f"{_SNAPS} SELECT window_id, node_type, count(*) AS count FROM sn JOIN nodes USING (node_id) GROUP BY ALL"),
+        "r06_groups": g(f"{_RINGS} SELECT component, clusters, types, largest, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM grp"),
+        "r10_rings": g(f"{_RINGS} SELECT ring_type, ring_key, size, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM rings"),
+        "e02_community_signals": g(f"{_ANOMALIES} SELECT 'community_alert' AS signal_type, 'LOW' AS severity, CAST(0 AS DOUBLE) AS confidence, c AS entity_ids FROM odd"),
+        "e03_ring_signals": g(f"{_RINGS} SELECT 'fraud_ring_alert' AS signal_type, CASE WHEN confidence >= 0.8 THEN 'CRITICAL' WHEN confidence >= 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(CAST(confidence AS DOUBLE), 6) AS confidence, ring_key AS entity_ids FROM rings"),
+        "e05_propagation_signals": g(f"{_MANY} SELECT 'entity_risk' AS signal_type, {_LEVEL.format(r='risk')} AS severity, round(risk, 6) AS confidence, node_id AS entity_ids FROM spread WHERE risk >= 0.2"),
+        "h06_shells_by_degree": g(_shells("confidence >= 0.3")),
+        "h07_score_one": g(_shells("node_id = 'IMP:7'")),
     }
