@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.test_graph import ring
-from tradeweave.operators import build, evidence, resolution
+from tradeweave.operators import build, centrality, evidence, propagation, resolution, shell, signals
 from tradeweave.operators.graph import TradeGraph
 from tradeweave.sources import declarations
 from tradeweave.streaming import ingest
@@ -91,3 +91,67 @@ def test_stream_gives_the_graph_of_the_batch(spark, tmp_path):
 def test_link_windows(spark):
     w = ingest.link_windows(declarations.sample(spark), "7 days", "7 days")
     assert w.agg(F.sum("declarations")).first()[0] == 20
+
+
+def test_upserts_keep_what_they_are_not_given(spark):
+    g = ring(spark)
+    e = "src string, dst string, edge_type string, weight double"
+    rows = [("IMP:A", "EXP:B", "IMPORTS_FROM", 2.0), ("IMP:A", "EXP:B", "IMPORTS_FROM", 3.0), ("IMP:A", "NEW", "IMPORTS_FROM", 1.0), ("NEW", "NEW2", "DECLARES", None)]
+    u = g.upsert_edges(spark.createDataFrame(rows, e))
+    assert u.edges.columns == g.edges.columns
+    got = {(r["src"], r["dst"], r["edge_type"]): r for r in u.edges.collect()}
+    assert len(got) == u.edge_count() == g.edge_count() + 2
+    assert (got["IMP:A", "EXP:B", "IMPORTS_FROM"]["weight"], got["IMP:A", "EXP:B", "IMPORTS_FROM"]["transaction_count"]) == (3.0, 5)
+    assert {r["node_id"] for r in u.nodes.collect()} == {r["node_id"] for r in g.nodes.collect()} | {"NEW", "NEW2"}
+    n = g.upsert_nodes(spark.createDataFrame([("IMP:A", None, "x"), ("IMP:A", "FR", None), ("NEW", "IT", "y")], "node_id string, country string, note string"))
+    got = {r["node_id"]: r for r in n.nodes.collect()}
+    assert n.node_count() == g.node_count() + 1
+    assert (got["IMP:A"]["country"], got["IMP:A"]["note"], got["IMP:A"]["node_type"]) == ("FR", "x", "IMPORTER")
+    assert (got["EXP:B"]["country"], got["EXP:B"]["note"], got["NEW"]["note"]) == ("CN", None, "y")
+    assert g.upsert_nodes(spark.createDataFrame([("A",), ("A",)], "node_id string")).node_count() == g.node_count() + 1
+
+
+def test_records_and_statistics(spark, tmp_path):
+    g = ring(spark)
+    back = TradeGraph.from_records(*g.records())
+    assert back.nodes.select("node_id", "country").exceptAll(g.nodes.select("node_id", "country")).isEmpty() and back.node_count() == 6
+    assert back.edges.select(g.edges.columns).exceptAll(g.edges).isEmpty() and back.edge_count() == 7
+    s = g.statistics()
+    assert (s["nodes"], s["edges"], s["components"], s["node_types"]["IMPORTER"], s["edge_types"]["LOCATED_AT"]) == (6, 7, 1, 3, 2)
+    g.save_statistics(str(tmp_path / "stats"))
+    assert json.loads(spark.read.text(str(tmp_path / "stats")).first()[0]) == s
+
+
+def test_high_risk_counts_parallel_edges(spark):
+    g = ring(spark)
+    risky = TradeGraph(g.nodes.withColumn("risk_score", F.when(F.col("node_id") == "IMP:A", 0.9).otherwise(0.0)), g.edges.unionByName(g.edges.where("src = 'IMP:A'").withColumn("edge_type", F.lit("CO_OCCURS_WITH"))))
+    r = signals.high_risk(risky).collect()
+    assert [(x["node_id"], x["neighbor_count"], x["flagged"], x["indicators"]) for x in r] == [("IMP:A", 5, False, ["critical_risk"])]
+
+
+def test_shell_features_and_neighbours(spark):
+    """Fixture F3: a company of a free zone with eight small links, four of them to flagged companies."""
+    nodes = [("IMP:SHELL", "IMPORTER", "HK", False, 0.0)] + [(f"EXP:LEGIT{i}", "EXPORTER", ("CN", "VN", "IN", "TH")[i % 4], i < 4, 0.7 if i < 4 else 0.1) for i in range(8)]
+    nodes += [("IMP:NORMAL", "IMPORTER", "US", False, 0.1), ("COMM:8471", "COMMODITY", None, False, 0.0), ("DECL:SHELL1", "DECLARATION", None, False, 0.0)]
+    edges = [("IMP:SHELL", f"EXP:LEGIT{i}", "IMPORTS_FROM", 1000.0) for i in range(8)] + [("IMP:NORMAL", "EXP:LEGIT0", "IMPORTS_FROM", 500000.0), ("IMP:SHELL", "DECL:SHELL1", "DECLARES", None), ("DECL:SHELL1", "COMM:8471", "TRADES_COMMODITY", None)]
+    n = spark.createDataFrame(nodes, "node_id string, node_type string, country string, flagged boolean, risk_score double").withColumns({"name": F.col("node_id"), "registration_date": F.lit("2025-06-01")})
+    g = TradeGraph(n, spark.createDataFrame(edges, "src string, dst string, edge_type string, total_value double"))
+    found = shell.score(g, centrality.degree(g), "2025-07-15")
+    r = found.first()
+    assert found.count() == 1 and r["node_id"] == "IMP:SHELL"
+    assert r["indicators"] == ["high_centrality_low_volume", "free_trade_zone_registration", "many_flagged_connections", "single_commodity_many_connections"]
+    assert abs(r["confidence"] - 0.85) < 1e-9
+    assert (r["trade_volume"], r["connection_count"], r["flagged_connection_count"], r["registration_age_days"], r["is_free_trade_zone"]) == (8000.0, 9, 4, 44, True)
+    assert shell.score(g, centrality.degree(g), "2025-07-15", min_confidence=0.0, node_id="EXP:LEGIT0").count() == 1
+    assert shell.connected_entities(g, found).count() == 9
+    assert [x["other"] for x in shell.connected_entities(g, found, 2).orderBy("other").collect()] == ["DECL:SHELL1", "EXP:LEGIT0"]
+
+
+def test_propagation_totals_and_riskiest(spark):
+    g = ring(spark)
+    s = spark.createDataFrame([("IMP:A", 0.9)], "node_id string, risk double")
+    found = propagation.propagate(g, s)
+    t = propagation.totals(found).first()
+    assert (t["source_node"], t["affected"], t["max_depth"]) == ("IMP:A", found.count(), found.agg(F.max("depth")).first()[0])
+    top = propagation.riskiest(propagation.applied(g, found, s), 2).collect()
+    assert top[0]["node_id"] == "IMP:A" and top[0]["risk_level"] == "CRITICAL" and len(top) == 2
