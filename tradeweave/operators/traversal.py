@@ -14,12 +14,15 @@ from .graph import TradeGraph
 
 def khop(graph: TradeGraph, start: str, max_depth: int) -> DataFrame:
     """node_id, depth of nodes within max_depth undirected hops, without the start."""
-    adjacent = graph.adjacency()
+    e = graph.edges
     seen = graph.nodes.where(F.col("node_id") == start).select("node_id", F.lit(0).alias("depth"))
     for depth in range(1, max_depth + 1):
-        front = seen.where(F.col("depth") == depth - 1).select("node_id").join(adjacent, "node_id").select(F.col("other").alias("node_id")).distinct()
-        new = front.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth))
-        seen = stored(seen.union(new))
+        front = seen.where(F.col("depth") == depth - 1).select(F.col("node_id").alias("at"))
+        # edges meet the front at either end; only what is found is made distinct
+        found = e.join(front, e["src"] == front["at"]).select(F.col("dst").alias("node_id")).union(e.join(front, e["dst"] == front["at"]).select("src")).distinct()
+        new = found.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth))
+        before, seen = seen, stored(seen.union(new))
+        dropped(before)
     return seen.where("depth > 0")
 
 
