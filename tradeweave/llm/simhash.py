@@ -7,7 +7,8 @@ counters, and words whose 64 pairs all exceed the radius are abandoned.
 ``near_duplicates`` links fingerprints of 64 bits within a small radius, found
 by pigeonhole keys. ``similar`` links texts by the Jaccard similarity of their
 shingles: texts that share a necessary shingle are compared by fingerprints of
-256 bits, and what is left is verified in full. Both miss no link.
+256 bits, and what is left is verified in full. The first misses no link; the
+second passes over one only where its fingerprints differ in more than OPEN bits.
 """
 
 from __future__ import annotations
