@@ -11,7 +11,7 @@ import xxhash
 import zstandard
 
 from tests.llm.test_operators import TEXTS, docs
-from tradeweave.llm import common, language, licenses, lm, quality, toxicity, warc
+from tradeweave.llm import common, language, licenses, lm, neighbours, quality, toxicity, warc
 
 D = "doc_id bigint, text string, lang string, source string"
 
@@ -265,3 +265,32 @@ def test_warc_odd_rows(spark):
 def test_word_codes_hash_all_parts():
     assert lm.word_code(b"abc", 16) % 16 == xxhash.xxh32_intdigest(b"abc") % 16
     assert lm.word_code(b"abc", 16) // 16 % lm.CLASSES == zlib.crc32(b"abc") % 64
+
+
+def test_footrule_of_neighbours_against_plain_ranks():
+    """Candidates are those at the least footrule distance, a pivot that isn't posted having the rank after the last."""
+    rng = np.random.default_rng(5)
+    x, pivots = rng.normal(size=(700, 24)), rng.normal(size=(150, 24))
+    x, pivots = neighbours._unit(x), neighbours._unit(pivots)
+    index = neighbours.Index(x, pivots)
+    order = neighbours.nearest_pivots(x, pivots)
+    m = order.shape[1]
+    rank = np.full((len(x), len(pivots)), m)
+    np.put_along_axis(rank, order, np.arange(m)[None], 1)
+    for own in range(0, 700, 50):
+        d = np.abs(rank - rank[own]).sum(1)
+        limit = max(np.sort(d)[int(neighbours.RERANKED * len(x))], neighbours.NEAR * m * (m + 1))
+        assert index.candidates(order[own]).tolist() == np.flatnonzero(d <= limit).tolist()
+
+
+def test_recall_of_neighbours_on_uniform_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 64))
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in neighbours.search(v, v.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::50] @ u.T
+    s[np.arange(60), np.arange(0, 3000, 50)] = -9
+    found = sum(len(got[50 * i] & set(np.argsort(-s[i])[:5].tolist())) for i in range(60))
+    assert found >= 0.95 * 5 * 60

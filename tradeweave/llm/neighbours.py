@@ -27,30 +27,38 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Inverted file of a block of vectors."""
+    """Inverted file of a block of vectors: for each pivot a row of how near its rank is to each vector, POSTED for the first and 0 where it isn't posted."""
 
     def __init__(self, vectors: np.ndarray, pivots: np.ndarray):
         self.pivots, self.n = pivots, len(vectors)
-        self.unit = _unit(vectors)
-        order = nearest_pivots(self.unit, pivots)
-        self.m = order.shape[1]
-        by = np.argsort(order.ravel(), kind="stable")
-        self.posted, self.rank = (by // self.m).astype(np.int32), (by % self.m).astype(np.int32)
-        self.begin = np.searchsorted(order.ravel()[by], np.arange(len(pivots) + 1))
+        unit = _unit(vectors)
+        order = nearest_pivots(unit, pivots)
+        self.near = np.arange(order.shape[1], 0, -1).astype(np.uint8 if order.shape[1] < 256 else np.uint16)
+        self.posts = np.zeros((len(pivots), self.n), self.near.dtype)
+        self.posts[order.T, np.arange(self.n)] = self.near[:, None]
+        self.unit = unit.astype(np.float32)
 
     def candidates(self, pivots_of_query: np.ndarray) -> np.ndarray:
-        """Vectors to rerank: those at the smallest footrule distances."""
-        m = self.m
+        """Vectors to rerank: those at the smallest footrule distances.
+
+        With m for the rank of pivots that aren't posted, the footrule distance is
+        2 * (most - common), where common sums the lesser nearness of each pivot.
+        """
+        m = len(self.near)
         most = m * (m + 1) // 2
-        d = np.full(self.n, most, np.int32)
-        for r, p in enumerate(pivots_of_query):
-            a, b = self.begin[p], self.begin[p + 1]
-            d[self.posted[a:b]] -= (m - r) - np.abs(self.rank[a:b] - r)
+        common = np.minimum(self.posts[pivots_of_query], self.near[:, None]).sum(0, dtype=np.int32)
         keep = max(64, int(RERANKED * self.n))
         if keep >= self.n:
             return np.arange(self.n)
-        limit = np.partition(d, keep)[keep]
-        return np.flatnonzero(d <= max(limit, NEAR * most))
+        limit = np.partition(common, self.n - 1 - keep)[self.n - 1 - keep]
+        return np.flatnonzero(common >= min(limit, (1 - NEAR) * most))
+
+    def leaders(self, c: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
+        """Those of c that may be among its k nearest: single precision is surer than the margin left."""
+        if len(c) <= k:
+            return c
+        s = self.unit[c] @ query
+        return c[s >= np.partition(s, len(c) - k)[len(c) - k] - (len(query) + 8) * 2.0**-22]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -99,9 +107,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             x, low, ids = x[at], low[at], rows["ids"].to_numpy()[at]
             index = Index(x, pivots[x.shape[1]])
             asked = np.stack(wanted["e"].to_list())
-            near = nearest_pivots(_unit(asked), index.pivots)
-            for own, e, p in zip(wanted["query_id"].tolist(), asked, near, strict=True):
-                c = index.candidates(p)
+            unit = _unit(asked)
+            near, unit = nearest_pivots(unit, index.pivots), unit.astype(np.float32)
+            for own, e, u, p in zip(wanted["query_id"].tolist(), asked, unit, near, strict=True):
+                c = index.leaders(index.candidates(p), u, k + 1)
                 s = _cosine(x[c], e)
                 for i in np.argsort(-s, kind="stable")[: k + 1]:  # c is in order of the smallest id
                     out += [(own, int(j), float(s[i])) for j in ids[c[i]] if j != own]
