@@ -1,10 +1,12 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_graph import ring
-from tradeweave.operators import build, centrality, evidence, propagation, resolution, shell, signals
+from tradeweave.config import EntityResolution, Settings
+from tradeweave.operators import build, centrality, community, evidence, propagation, resolution, shell, signals, temporal
 from tradeweave.operators.graph import TradeGraph
 from tradeweave.sources import declarations
 from tradeweave.streaming import ingest
@@ -155,3 +157,65 @@ def test_propagation_totals_and_riskiest(spark):
     assert (t["source_node"], t["affected"], t["max_depth"]) == ("IMP:A", found.count(), found.agg(F.max("depth")).first()[0])
     top = propagation.riskiest(propagation.applied(g, found, s), 2).collect()
     assert top[0]["node_id"] == "IMP:A" and top[0]["risk_level"] == "CRITICAL" and len(top) == 2
+
+
+def parts(spark, text):
+    return spark.createDataFrame([(n, p) for p, ns in text.items() for n in ns], "node_id string, community_id string")
+
+
+def test_evolution_members(spark):
+    old, new = parts(spark, {"a": "pqrs", "b": "xy", "d": "z"}), parts(spark, {"A": "pqrst", "C": "uv", "B": "xyz"})
+    events = {r["community_id"]: r["event_type"] for r in temporal.evolution(old, new).collect()}
+    assert events == {"A": "evolve", "C": "new", "B": "grow", "d": "dissolved"}
+    got = {tuple(r) for r in temporal.evolution_members(old, new).collect()}
+    assert got == {("A", "added", "t"), ("C", "added", "u"), ("C", "added", "v"), ("B", "added", "z"), ("d", "removed", "z")}
+
+
+def test_changed_entities_against_sets(spark):
+    rng = random.Random(4)
+    rows = sorted({(w, rng.choice("abcdefgh"), rng.choice("abcdefgh"), "T") for w in range(5) if w != 3 for _ in range(6)})
+    e = spark.createDataFrame(rows, "window_id int, src string, dst string, edge_type string")
+    spans = spark.createDataFrame([(w, "", "") for w in range(5)], "window_id int, window_start string, window_end string")
+    found = temporal.changes(e, temporal.snapshots(e, spans, with_components=False), threshold=0.5)
+    kinds = {(r["window_id"], r["change_type"]) for r in found.collect()}
+    at = [{r[1:] for r in rows if r[0] == w} for w in range(5)]
+    nodes = [{n for r in x for n in r[:2]} for x in at]
+    wanted = set()
+    for w in range(1, 5):
+        for kind, a, b in (("new", w, w - 1), ("disappeared", w - 1, w)):
+            wanted |= {(w, f"{kind}_edges", n) for r in at[a] - at[b] for n in r[:2]} | {(w, f"{kind}_nodes", n) for n in nodes[a] - nodes[b]}
+    assert {tuple(r) for r in temporal.changed_entities(e, found).collect()} == {x for x in wanted if x[:2] in kinds}
+
+
+def test_nested_settings(tmp_path):
+    path = tmp_path / "settings.yaml"
+    path.write_text(
+        "graph:\n  backend: memory\n  entity_resolution: {similarity_threshold: 0.9, match_fields: [name]}\n  edge_weights: {method: volume, components: {frequency: 0}}\n"
+        "analysis:\n  centrality: {pagerank: {alpha: 0.5}, betweenness: {normalized: false, k: null}, degree: {normalized: true}}\n"
+        "  temporal: {window_size: 10, window_overlap: 0}\n  propagation: {edge_type_weights: {LOCATED_AT: 0.2}}\n"
+        "detection:\n  carousel: {vat_countries: [GB]}\napi: {port: 1}\nexport:\n  signals: {retry_attempts: 0}\n"
+    )
+    s = Settings.from_yaml(str(path))
+    assert s.entity_resolution == EntityResolution(0.9, ("name",))
+    assert (s.edge_weights.method, s.edge_weights.frequency, s.edge_weights.volume) == ("volume", 0, 0.3)
+    assert (s.centrality.alpha, s.centrality.normalized, s.centrality.k, s.centrality.degree_normalized) == (0.5, False, None, True)
+    assert (s.temporal.window_days, s.temporal.overlap_days, s.propagation.type_weights) == (10, 0, {"LOCATED_AT": 0.2})
+    assert (s.carousel.vat_countries, s.signals.retry_attempts) == (("GB",), 0)
+    with pytest.raises(ValueError):
+        Settings.from_dict({"analysis": {"temporal": {"windows": 1}}})
+
+
+def test_leiden_refines_and_is_connected(spark):
+    """A ring of ten cliques: each is a community, and none is worse than louvain's."""
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "abcdefghij" for i in range(5) for j in range(i)] + [(f"{c}0", f"{d}1") for c, d in zip("abcdefghij", "bcdefghija", strict=True)]
+    nodes = spark.createDataFrame([(f"{c}{i}", "IMPORTER") for c in "abcdefghij" for i in range(5)] + [("alone", "IMPORTER")], "node_id string, node_type string")
+    g = TradeGraph(nodes, spark.createDataFrame([(*p, "IMPORTS_FROM", 1.0) for p in pairs], "src string, dst string, edge_type string, weight double"))
+    q = {}
+    for name, run in (("louvain", community.louvain), ("leiden", community.leiden)):
+        p = run(g).withColumnRenamed("community", "community_id")
+        q[name] = community.modularity(g, p).first()[0]
+        got = {r["node_id"]: r["community_id"] for r in p.collect()}
+        assert got["alone"] == "alone" and len(got) == 51
+        if name == "leiden":
+            assert all(len({got[f"{c}{i}"] for i in range(5)}) == 1 for c in "abcdefghij")
+    assert q["leiden"] >= q["louvain"] - 0.02 and q["leiden"] > 0.7

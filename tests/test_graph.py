@@ -1,3 +1,5 @@
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,10 @@ def test_carousel(spark):
     assert (c[0]["border_crossings"], c[0]["temporal_span_days"]) == (3, 13)
     assert c[0]["estimated_vat_exposure"] == pytest.approx(453000)
     assert c[0]["confidence"] == pytest.approx(0.95)
+    assert c[0]["pattern_id"].startswith("CAROUSEL-")
+    assert len(c[0]["countries"]) == len(set(c[0]["countries"])) and set(c[0]["missing_trader_candidates"]) <= set(c[0]["cycle"])
+    days = c[0]["transaction_dates"]
+    assert days == sorted(set(days)) and (date.fromisoformat(days[-1]) - date.fromisoformat(days[0])).days == 13
 
 
 def test_acyclic_graph_has_no_cycles(spark):

@@ -29,6 +29,12 @@ class EdgeWeights:
     recency: float = 0.3
 
 
+@dataclass(frozen=True)
+class EntityResolution:
+    similarity: float = 0.85
+    fields: tuple[str, ...] = ("name", "tax_id", "address", "phone")
+
+
 @dataclass(frozen=True)
 class Community:
     algorithm: str = "louvain"
@@ -44,6 +50,7 @@ class Centrality:
     tol: float = 1e-6
     normalized: bool = True
     k: int | None = None
+    degree_normalized: bool = True
 
 
 @dataclass(frozen=True)
@@ -86,11 +93,55 @@ class Carousel:
 class Signals:
     batch_size: int = 100
     source_system: str = "tradeweave"
+    endpoint: str = "http://localhost:8080/api/v1/signals"
+    retry_attempts: int = 3
+    retry_delay: int = 5
+
+
+# fixed values: names in nested settings files, and the knobs they set here
+NESTED = {
+    "graph.entity_resolution.similarity_threshold": "entity_resolution.similarity",
+    "graph.entity_resolution.match_fields": "entity_resolution.fields",
+    "graph.edge_weights.method": "edge_weights.method",
+    "graph.edge_weights.components.frequency": "edge_weights.frequency",
+    "graph.edge_weights.components.volume": "edge_weights.volume",
+    "graph.edge_weights.components.recency": "edge_weights.recency",
+    "analysis.community.algorithm": "community.algorithm",
+    "analysis.community.resolution": "community.resolution",
+    "analysis.community.min_community_size": "community.min_size",
+    "analysis.community.random_seed": "community.seed",
+    "analysis.centrality.pagerank.alpha": "centrality.alpha",
+    "analysis.centrality.pagerank.max_iter": "centrality.max_iter",
+    "analysis.centrality.pagerank.tol": "centrality.tol",
+    "analysis.centrality.betweenness.normalized": "centrality.normalized",
+    "analysis.centrality.betweenness.k": "centrality.k",
+    "analysis.centrality.degree.normalized": "centrality.degree_normalized",
+    "analysis.temporal.window_size": "temporal.window_days",
+    "analysis.temporal.window_overlap": "temporal.overlap_days",
+    "analysis.temporal.structural_change_threshold": "temporal.threshold",
+    "analysis.propagation.max_depth": "propagation.max_depth",
+    "analysis.propagation.decay_factor": "propagation.decay",
+    "analysis.propagation.min_propagation_threshold": "propagation.threshold",
+    "analysis.propagation.edge_type_weights": "propagation.type_weights",
+    "detection.rings.max_cycle_length": "rings.max_cycle_length",
+    "detection.rings.min_shared_attributes": "rings.min_shared",
+    "detection.shell_company.centrality_volume_ratio": "shell.ratio",
+    "detection.shell_company.min_flagged_connections": "shell.flagged",
+    "detection.shell_company.free_trade_zones": "shell.zones",
+    "detection.carousel.min_cycle_value": "carousel.min_value",
+    "detection.carousel.max_cycle_days": "carousel.max_days",
+    "detection.carousel.vat_countries": "carousel.vat_countries",
+    "export.signals.endpoint": "signals.endpoint",
+    "export.signals.batch_size": "signals.batch_size",
+    "export.signals.retry_attempts": "signals.retry_attempts",
+    "export.signals.retry_delay": "signals.retry_delay",
+}
 
 
 @dataclass(frozen=True)
 class Settings:
     edge_weights: EdgeWeights = EdgeWeights()
+    entity_resolution: EntityResolution = EntityResolution()
     community: Community = Community()
     centrality: Centrality = Centrality()
     temporal: Temporal = Temporal()
@@ -102,7 +153,13 @@ class Settings:
 
     @classmethod
     def from_dict(cls, tree: dict[str, Any]) -> Settings:
-        """Sections and knobs by name; unknown ones raise ValueError."""
+        """Sections and knobs by name; unknown ones raise ValueError.
+
+        Nested trees (graph, analysis, detection, export) are read too; their
+        server and database sections (api, neo4j) and graph.backend have no use here.
+        """
+        if set(tree or {}) & {"graph", "analysis", "detection", "export", "api", "neo4j"}:
+            tree = _unnested({k: v for k, v in tree.items() if k not in ("api", "neo4j")})
         sections = {}
         for name, values in (tree or {}).items():
             f = next((x for x in dataclasses.fields(cls) if x.name == name), None)
@@ -124,6 +181,24 @@ class Settings:
             return cls.from_dict(_substituted(yaml.safe_load(f) or {}))
 
 
+def _unnested(tree: dict[str, Any]) -> dict[str, Any]:
+    out: dict[str, Any] = {}
+
+    def walk(x: dict[str, Any], path: str) -> None:
+        for name, value in x.items():
+            at = f"{path}{name}"
+            if at in NESTED:
+                section, knob = NESTED[at].split(".")
+                out.setdefault(section, {})[knob] = value
+            elif isinstance(value, dict):
+                walk(value, f"{at}.")
+            elif at != "graph.backend" and value is not None:
+                raise ValueError(f"unknown setting {at}")
+
+    walk(tree, "")
+    return out
+
+
 def _substituted(x: Any) -> Any:
     if isinstance(x, dict):
         return {k: _substituted(v) for k, v in x.items()}

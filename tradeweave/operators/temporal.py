@@ -56,24 +56,42 @@ def snapshots(edges: DataFrame, spans: DataFrame, with_components: bool = True)
     return x.withColumn("density", F.when(F.col("node_count") > 1, F.col("edge_count") / pairs).otherwise(0.0))
 
 
+def _moves(rows: DataFrame) -> list[tuple[str, DataFrame]]:
+    """change_type and the rows that a window has and the one before hasn't, or the other way; rows are those of snapshots."""
+    what = "nodes" if "node_id" in rows.columns else "edges"
+    before = rows.withColumn("window_id", F.col("window_id") + 1)
+    return [(f"{kind}_{what}", a.join(b, rows.columns, "left_anti")) for kind, a, b in (("new", rows, before), ("disappeared", before, rows))]
+
+
+def changed_entities(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """window_id, change_type, node_id: nodes, and ends of edges, that came or went, a row each.
+
+    found: rows of ``changes``; those of density and components have no entities.
+    """
+    parts = [x.select("window_id", F.lit(kind).alias("change_type"), F.explode(F.array("src", "dst")).alias("node_id")).distinct() for kind, x in _moves(edges)]
+    parts += [x.select("window_id", F.lit(kind).alias("change_type"), "node_id") for kind, x in _moves(snapshot_nodes(edges))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.join(found.select("window_id", "change_type"), ["window_id", "change_type"], "left_semi")
+
+
 def changes(edges: DataFrame, metrics: DataFrame, threshold: float = 0.15) -> DataFrame:
     """window_id, change_type, severity, previous, current, count for each window against the one before."""
-    keys = ["src", "dst", "edge_type"]
     spans = metrics.select("window_id")
 
-    def moved(rows: DataFrame, by: list[str], new: str, gone: str) -> list[DataFrame]:
+    def moved(rows: DataFrame) -> list[DataFrame]:
         size = rows.groupBy("window_id").agg(F.count("*").alias("size"))
-        later = rows.withColumn("window_id", F.col("window_id") + 1)
         base = spans.join(size.select((F.col("window_id") + 1).alias("window_id"), F.col("size").alias("previous")), "window_id", "left").join(size.withColumnRenamed("size", "current"), "window_id", "left").fillna(0)
         out = []
-        for a, b, kind in ((rows, later, new), (later, rows, gone)):
-            n = a.join(b, ["window_id", *by], "left_anti").groupBy("window_id").agg(F.count("*").alias("count"))
+        for kind, x in _moves(rows):
+            n = x.groupBy("window_id").agg(F.count("*").alias("count"))
             out.append(base.join(n, "window_id").select("window_id", F.lit(kind).alias("change_type"), F.least(F.col("count") / F.greatest("previous", F.lit(1)), F.lit(1.0)).alias("severity"), F.col("previous").cast("double").alias("previous"), F.col("current").cast("double").alias("current"), "count"))
         return out
 
     w = Window.orderBy("window_id")  # a row per window
     m = metrics.select("window_id", "density", "components", F.lag("density").over(w).alias("pd"), F.lag("components").over(w).alias("pc")).where("pd is not null")
-    parts = [*moved(edges, keys, "new_edges", "disappeared_edges"), *moved(snapshot_nodes(edges), ["node_id"], "new_nodes", "disappeared_nodes")]
+    parts = [*moved(edges), *moved(snapshot_nodes(edges))]
     one = F.lit(1).cast("bigint").alias("count")
     parts.append(m.select("window_id", F.lit("density_change").alias("change_type"), F.least(F.abs(F.col("density") - F.col("pd")) / F.greatest("pd", F.lit(0.01)), F.lit(1.0)).alias("severity"), F.col("pd").alias("previous"), F.col("density").alias("current"), one))
     kind = F.when(F.col("components") > F.col("pc"), "component_fragmentation").otherwise("component_consolidation")
@@ -85,13 +103,34 @@ def changes(edges: DataFrame, metrics: DataFrame, threshold: float = 0.15) -> Da
     return out.crossJoin(first).where("window_id > first").drop("first").where(F.col("severity") >= threshold)
 
 
+def _sizes(p: DataFrame) -> DataFrame:
+    return p.groupBy("community_id").agg(F.count("*").alias("size"))
+
+
+def _matched(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """c, p, previous_size, current_size, j: for each current community the previous one most like it, if like enough."""
+    ps, cs = _sizes(previous).toDF("p", "previous_size"), _sizes(current).toDF("c", "current_size")
+    both = current.select("node_id", F.col("community_id").alias("c")).join(previous.select("node_id", F.col("community_id").alias("p")), "node_id").groupBy("c", "p").agg(F.count("*").alias("n"))
+    j = both.join(ps, "p").join(cs, "c").withColumn("j", F.col("n") / (F.col("previous_size") + F.col("current_size") - F.col("n")))
+    return j.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("j"), "p"))).where("r = 1 and j > 0.3")
+
+
+def evolution_members(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """community_id, event, node_id: the nodes that each community of ``evolution`` gained (added) or lost (removed).
+
+    New communities gained all their nodes, dissolved ones, named by their previous id, lost all.
+    """
+    pair = _matched(previous, current).select("c", "p")
+    now, old = current.select("node_id", F.col("community_id").alias("c")), previous.select("node_id", F.col("community_id").alias("p"))
+    added = now.join(pair, "c", "left").join(old, ["node_id", "p"], "left_anti").select(F.col("c").alias("community_id"), F.lit("added").alias("event"), "node_id")
+    removed = old.join(pair, "p", "left").join(now, ["node_id", "c"], "left_anti")
+    return added.unionByName(removed.select(F.coalesce("c", "p").alias("community_id"), F.lit("removed").alias("event"), "node_id"))
+
+
 def evolution(previous: DataFrame, current: DataFrame) -> DataFrame:
     """community_id, event_type, previous_size, current_size, jaccard_similarity; both: node_id, community_id."""
-    size = lambda p: p.groupBy("community_id").agg(F.count("*").alias("size"))
-    ps, cs = size(previous).toDF("p", "previous_size"), size(current).toDF("c", "current_size")
-    both = current.toDF("node_id", "c").join(previous.toDF("node_id", "p"), "node_id").groupBy("c", "p").agg(F.count("*").alias("n"))
-    j = both.join(ps, "p").join(cs, "c").withColumn("j", F.col("n") / (F.col("previous_size") + F.col("current_size") - F.col("n")))
-    best = j.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("j"), "p"))).where("r = 1 and j > 0.3")
+    ps, cs = _sizes(previous).toDF("p", "previous_size"), _sizes(current).toDF("c", "current_size")
+    best = _matched(previous, current)
     ratio = F.col("current_size") / F.col("previous_size")
     kind = F.when(F.col("j") > 0.8, "stable").when(ratio > 1.3, "grow").when(ratio < 0.7, "shrink").otherwise("evolve")
     kept = best.select(F.col("c").alias("community_id"), kind.alias("event_type"), "previous_size", "current_size", F.col("j").alias("jaccard_similarity"))

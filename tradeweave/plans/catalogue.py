@@ -165,6 +165,8 @@ def queries() -> dict:
         "p03_applied": on(lambda g: P.applied(g, _spread(g), _sources(g)).nodes.where("risk_score > 0").select("node_id", _r("risk_score"), "risk_level", "flagged")),
         "p08_totals": on(lambda g: P.totals(_spread(g)).select("source_node", "affected", "max_depth", _r("total_risk"))),
         "p06_summary": on(lambda g: P.summary(_risky(g)).select("total_nodes", *[_r(c) for c in ("mean", "median", "max", "std")], "flagged", "at_risk", "low", "medium", "high", "critical")),
+        "p06_riskiest": on(lambda g: P.riskiest(_risky(g)).select("node_id", "node_type", _r("risk_score"), "risk_level")),
+        "m06_node_types": on(lambda g: M.node_types(g, by_country(g))),
         # the SQL of w01, w02 and w05 has the windows of 2001; those named _all span all dates
         "w01_snapshots": snap(snapshots),
         "w01_snapshots_all": snap(snapshots, whole=True),
@@ -173,10 +175,13 @@ def queries() -> dict:
         "w02_windows_all": on(_all_spans),
         "w03_changes": snap(lambda s, e: W.changes(e, stored(W.snapshots(e, s))).select("window_id", "change_type", _r("severity"), _r("previous"), _r("current"), "count"), whole=True),
         "w04_evolution": on(lambda g: W.evolution(by_country(g), by_country(g).select("node_id", F.substring("community_id", -1, 1).alias("community_id"))).select("community_id", "event_type", "previous_size", "current_size", _r("jaccard_similarity"))),
+        "w03_changed_entities": snap(lambda s, e: W.changed_entities(e, stored(W.changes(e, stored(W.snapshots(e, s, with_components=False)))))),
+        "w04_members": on(lambda g: W.evolution_members(by_country(g), by_country(g).select("node_id", F.substring("community_id", -1, 1).alias("community_id")))),
         "w05_velocity": snap(velocity),
         "w05_velocity_all": snap(velocity, whole=True),
         "r01_cycles": lambda s, d: R.circular(companies(s, d)).select(F.array_join("cycle", ">").alias("cycle"), F.col("length").cast("bigint").alias("length"), _r("total_value", 2)),
         "r02_clusters": on(lambda g: R.clusters(g)),
+        "r02_entities": on(lambda g: R.cluster_entities(g)),
         "r06_groups": on(lambda g: R.cluster_groups(g).select("component", "clusters", "types", "largest", _r("confidence"))),
         "r09_synchronized": on(lambda g: R.synchronized(g, max_cv=0.3).select("date", "declarations", "importers", _r("cv"), _r("confidence"))),
         "r10_rings": lambda s, d: R.detect(graph(s, d), max_cv=0.3).select("ring_type", "ring_key", "size", _r("confidence")),

@@ -209,6 +209,20 @@ def oracles() -> dict[str, str]:
         "w01_snapshots": g(f"{_SNAPS} SELECT window_id, window_start, window_end, node_count, edge_count, round(CAST(density AS DOUBLE), 9) AS density FROM snap"),
         "w02_windows": f"WITH {_WINDOWS} SELECT * FROM spans",
         "w04_evolution": g("q AS (SELECT node_id, right(c, 1) AS c FROM part), ps AS (SELECT c AS p, count(*) AS a FROM part GROUP BY ALL), cs AS (SELECT c, count(*) AS b FROM q GROUP BY ALL), j AS (SELECT q.c, part.c AS p, count(*) AS n FROM q JOIN part USING (node_id) GROUP BY ALL), k AS (SELECT j.c, j.p, a, b, n / CAST(a + b - n AS DOUBLE) AS j FROM j JOIN ps USING (p) JOIN cs USING (c)), best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY c ORDER BY j DESC, p) = 1), kept AS (SELECT * FROM best WHERE j > 0.3) SELECT c AS community_id, CASE WHEN j > 0.8 THEN 'stable' WHEN b / CAST(a AS DOUBLE) > 1.3 THEN 'grow' WHEN b / CAST(a AS DOUBLE) < 0.7 THEN 'shrink' ELSE 'evolve' END AS event_type, a AS previous_size, b AS current_size, round(j, 6) AS jaccard_similarity FROM kept UNION ALL SELECT c, 'new', 0, b, 0 FROM cs WHERE c NOT IN (SELECT c FROM kept) UNION ALL SELECT p, 'dissolved', a, 0, 0 FROM ps WHERE p NOT IN (SELECT p FROM kept)"),
+        "w04_members": g("q AS (SELECT node_id, right(c, 1) AS c FROM part), ps AS (SELECT c AS p, count(*) AS a FROM part GROUP BY ALL), cs AS (SELECT c, count(*) AS b FROM q GROUP BY ALL), j AS (SELECT q.c, part.c AS p, count(*) AS n FROM q JOIN part USING (node_id) GROUP BY ALL), k AS (SELECT j.c, j.p, a, b, n / CAST(a + b - n AS DOUBLE) AS j FROM j JOIN ps USING (p) JOIN cs USING (c)), best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY c ORDER BY j DESC, p) = 1), kept AS (SELECT * FROM best WHERE j > 0.3), pm AS (SELECT node_id, c AS p FROM part) SELECT q.c AS community_id, 'added' AS event, q.node_id FROM q LEFT JOIN kept USING (c) LEFT JOIN pm ON pm.node_id = q.node_id AND pm.p = kept.p WHERE pm.p IS NULL UNION ALL SELECT coalesce(kept.c, pm.p), 'removed', pm.node_id FROM pm LEFT JOIN kept USING (p) LEFT JOIN q ON q.node_id = pm.node_id AND q.c = kept.c WHERE q.c IS NULL"),
+        "w03_changed_entities": g(f"""{_SNAPS}, last AS (SELECT max(window_id) AS w FROM spans),
+  xe AS (SELECT 'new_edges' AS t, window_id, src, dst, edge_type FROM (FROM se EXCEPT SELECT window_id + 1, src, dst, edge_type FROM se) UNION ALL
+    SELECT 'disappeared_edges', * FROM (SELECT window_id + 1 AS window_id, src, dst, edge_type FROM se EXCEPT FROM se)),
+  xn AS (SELECT 'new_nodes' AS t, window_id, node_id FROM (FROM sn EXCEPT SELECT window_id + 1, node_id FROM sn) UNION ALL
+    SELECT 'disappeared_nodes', * FROM (SELECT window_id + 1 AS window_id, node_id FROM sn EXCEPT FROM sn)),
+  n AS (SELECT t, window_id, count(*) AS c FROM xe GROUP BY ALL UNION ALL SELECT t, window_id, count(*) FROM xn GROUP BY ALL),
+  ok AS (SELECT t, n.window_id FROM n, last LEFT JOIN snap s ON s.window_id = n.window_id - 1 WHERE n.window_id BETWEEN 1 AND w
+    AND least(c / CAST(greatest(coalesce(CASE WHEN t LIKE '%edges' THEN edge_count ELSE node_count END, 0), 1) AS DOUBLE), 1) >= 0.15),
+  parts AS (SELECT t, window_id, src AS node_id FROM xe UNION SELECT t, window_id, dst FROM xe UNION SELECT t, window_id, node_id FROM xn)
+  SELECT window_id, t AS change_type, node_id FROM parts JOIN ok USING (t, window_id)"""),
+        "r02_entities": g("c AS (SELECT dst FROM edges WHERE edge_type IN ('LOCATED_AT', 'CONTACTABLE_VIA', 'PAYS_THROUGH') GROUP BY dst HAVING count(DISTINCT src) >= 2) SELECT DISTINCT dst AS shared_node_id, src AS node_id FROM edges JOIN c USING (dst)"),
+        "p06_riskiest": g("SELECT node_id, node_type, CAST(0.9 AS DOUBLE) AS risk_score, 'CRITICAL' AS risk_level FROM risk WHERE flagged ORDER BY node_id LIMIT 10"),
+        "m06_node_types": g("SELECT c AS community_id, node_type, count(*) AS count FROM part JOIN nodes USING (node_id) GROUP BY ALL"),
         "w05_velocity": g(f"{_SNAPS}, d AS (SELECT window_id, density, node_count - lag(node_count) OVER (ORDER BY window_id) AS dn, edge_count - lag(edge_count) OVER (ORDER BY window_id) AS de FROM snap), t AS (SELECT window_id, count(*) AS n, count(*) FILTER (WHERE k = 1) AS x FROM (SELECT window_id, node_id, count(*) AS k FROM (SELECT window_id, node_id FROM sn UNION ALL SELECT window_id + 1, node_id FROM sn) GROUP BY ALL) WHERE window_id > 0 AND window_id <= (SELECT max(window_id) FROM spans) GROUP BY window_id) SELECT round(avg(dn), 9) AS node_growth, round(avg(de), 9) AS edge_growth, round(CAST(regr_slope(density, window_id) AS DOUBLE), 9) AS density_trend, (SELECT round(avg(x / CAST(n AS DOUBLE)), 9) FROM t) AS turnover FROM d"),
         "r02_clusters": g("c AS (SELECT dst AS node_id, count(DISTINCT src) AS n FROM edges WHERE edge_type IN ('LOCATED_AT', 'CONTACTABLE_VIA', 'PAYS_THROUGH') GROUP BY dst HAVING count(DISTINCT src) >= 2) SELECT node_id AS shared_node_id, node_type AS shared_node_type, attribute AS attribute_value, n AS entity_count FROM c JOIN nodes USING (node_id)"),
         "r09_synchronized": g("d AS (SELECT date, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM nodes WHERE node_type = 'DECLARATION' GROUP BY date), i AS (SELECT n.date, count(DISTINCT src) AS i FROM nodes n JOIN edges e ON e.dst = n.node_id AND edge_type = 'DECLARES' WHERE node_type = 'DECLARATION' GROUP BY n.date) SELECT date, n AS declarations, i AS importers, round(std / mean, 6) AS cv, round(0.6 + 0.1 * least(n - 3, 4), 6) AS confidence FROM d JOIN i USING (date) WHERE n >= 3 AND i >= 3 AND std / mean < 0.3"),
