@@ -73,6 +73,51 @@ def test_blocks_of_any_size_give_the_same_scores(spark, monkeypatch):
     assert scored() == one
 
 
+def a_block(texts: int, words: int = 5000, cells: int = 16):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 40, texts)
+    starts = np.cumsum(lengths) - lengths
+    codes = np.array([lm.word_code(b"w%d" % k, cells) for k in range(words)])
+    return codes, rng.integers(0, words, lengths.sum()).astype(np.int32), starts, lengths, np.repeat(rng.random(texts) < 0.8, lengths), cells
+
+
+def test_contexts_in_steps_are_those_of_the_whole(monkeypatch):
+    codes, tokens, starts, lengths, use, cells = a_block(300)
+    one, two = lm.previous(codes[tokens] // (lm.CLASSES * cells), starts)
+    within = codes[tokens] % (lm.CLASSES * cells)
+    want = [np.zeros(n, np.int64) for n in lm.shape_of(cells)]
+    np.add.at(want[0], ((one * lm.BUCKETS + two) * lm.CLASSES + within // cells)[use], 1)
+    np.add.at(want[1], (one * lm.CLASSES * cells + within)[use], 1)
+    np.add.at(want[2], (two * lm.CLASSES * cells + within)[use], 1)
+    for step in (53, 1000, 1 << 19):
+        monkeypatch.setattr(lm, "STEP", step)
+        got = [np.zeros(n, np.int64) for n in lm.shape_of(cells)]
+        lm.add_counts(got, codes, tokens, starts, use, cells)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        assert (lm.counted(tokens, len(codes), use) == np.bincount(tokens[use], minlength=len(codes))).all()
+
+
+def test_memory_of_a_large_block_is_bounded():
+    import tracemalloc
+
+    codes, tokens, starts, lengths, use, cells = a_block(200_000)
+    rng = np.random.default_rng(1)
+    model = lm.Model(rng.normal(size=(lm.ROWS, lm.CLASSES)), *(rng.normal(size=(lm.BUCKETS, lm.CLASSES, cells)) for _ in range(2)), np.ones((lm.CLASSES, cells)))
+    planes = [lm.to_planes(x, 2) for x in np.split(tokens, starts[1:])]
+    c, counts = rng.integers(0, 3, len(codes)), [np.zeros(n, np.int64) for n in lm.shape_of(cells)]
+    tracemalloc.start()
+    lm.add_counts(counts, codes, tokens, starts, use, cells)
+    made = lm.text_scores(model, codes, c, planes, lengths, (-0.1, -9.0, 6.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tokens) > 3_500_000 and peak < 100 << 20  # whole arrays of 8 bytes a token: 30 MB each, a dozen at once
+    n = c[tokens]
+    lp = np.where(n > 0, model.score(codes[tokens], starts) + np.log(np.maximum(n, 1)) - 0.1, -9.0)
+    assert (made[0] == np.add.reduceat((n > 0).astype(int), starts)).all()
+    assert made[1] == pytest.approx(np.add.reduceat(np.log10(n + 1.0) - 6.0, starts))
+    assert made[2] == pytest.approx(np.add.reduceat(lp, starts) / math.log(10))
+
+
 def test_planes_round_trip():
     x = np.array([0, 1, 255, 256, 70_000, 2**24 - 1])
     for width in (3, 4):
